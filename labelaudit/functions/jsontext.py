@@ -12,6 +12,11 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def entries(text) -> Column:
     """Entries of a JSON object as array<struct<key, value variant>> in text
     order, the last of equal keys kept; null if the text is no JSON object."""
@@ -21,11 +26,13 @@ def entries(text) -> Column:
 
 def last_of_equal_keys(pairs: Column) -> Column:
     """Like a Python dict: a key keeps its first place and its last value."""
-    keys = F.transform(pairs, lambda e: e["key"])
-    first = F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
-    deduped = F.transform(first, lambda e: F.element_at(
-        F.filter(pairs, lambda o: o["key"] == e["key"]), -1))
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(deduped)
+    def body(pairs):
+        keys = F.transform(pairs, lambda e: e["key"])
+        first = F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+        deduped = F.transform(first, lambda e: F.element_at(
+            F.filter(pairs, lambda o: o["key"] == e["key"]), -1))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(deduped)
+    return bind(pairs, body)
 
 
 def quoted(text: Column) -> Column:
@@ -50,15 +57,14 @@ UA_KEYS = ("User-Agent", "user-agent", "USER-AGENT")
 
 def user_agent(text) -> Column:
     """User-Agent of a headers text, '' if there is none."""
-    pairs = F.map_entries(parse_object(text))
-
-    def last(cond):
-        return F.try_element_at(F.filter(pairs, cond), F.lit(-1))["value"]
-
-    exact = [last(lambda e, k=k: e["key"] == k) for k in UA_KEYS]
-    loose = F.try_element_at(
-        F.filter(pairs, lambda e: F.lower(e["key"]) == "user-agent"), F.lit(1))["value"]
-    return F.coalesce(*exact, loose, F.lit(""))
+    def spelled(pairs, key):
+        return F.try_element_at(F.filter(pairs, lambda e: e["key"] == key), F.lit(-1))["value"]
+
+    def body(pairs):
+        loose = F.filter(pairs, lambda e: F.lower(e["key"]) == "user-agent")
+        return F.coalesce(*[spelled(pairs, key) for key in UA_KEYS],
+                          F.try_element_at(loose, F.lit(1))["value"], F.lit(""))
+    return bind(F.map_entries(parse_object(text)), body)
 
 
 def map_text(m, spaced: bool = True) -> Column:

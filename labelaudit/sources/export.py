@@ -50,7 +50,9 @@ def export(requests: DataFrame, sources: DataFrame, root: str,
     shaped = shape_requests(rows)
     out = pipeline_items(shaped, slug("source_name").alias("traffic_source"),
                          slug("label_group").alias("label_group"))
-    out.write.partitionBy("traffic_source", "label_group").json(f"{root}/datasets")
+    # rebalance: small groups share a task, a hot group is split over many
+    out.hint("rebalance", "traffic_source", "label_group").write.partitionBy(
+        "traffic_source", "label_group").json(f"{root}/datasets")
     written = spark.read.schema("traffic_source_id long, traffic_source string, label_group string").json(
         f"{root}/datasets")
     slugs = spark.createDataFrame([(g,) for g in label_groups], "name string").select(
