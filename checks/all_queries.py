@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
-from . import q_knn, q_sampling, q_scores, q_sources, q_text  # noqa: F401
+from . import q_features, q_knn, q_sampling, q_scores, q_sources, q_text  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
