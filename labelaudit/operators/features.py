@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsontext import canonical, manual_counts
 from ..functions.vectors import zscore
-from .ngrams import document_frequency, idf, row_terms, top_terms
+from .ngrams import document_frequency, row_terms, top_terms
 from .sampling import stratified_split
 from .svd import svd_apply, svd_fit
 
@@ -56,21 +56,13 @@ class Preprocessor:
         return df.select(*keys, header.alias("text"), F.array(*manual).cast("array<double>").alias("manual"))
 
     def _rows(self, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """(keys, idx array, tf array): a row's vocabulary counts; at most
+        """(keys, idx array, val array): a row's vocabulary counts; at most
         max_features entries."""
         spark = texts.sparkSession
         vocabulary = spark.createDataFrame(list(enumerate(self.vocabulary)), "idx int, gram string")
         terms = row_terms(texts, vocabulary, "text", keys, self.ngram_range)
         return terms.groupBy(*keys).agg(F.collect_list(F.struct("idx", "tf")).alias("t")).select(
-            *keys, F.col("t.idx").alias("idx"), F.col("t.tf").alias("tf"))
-
-    def _weighted(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """(keys, idx, val): TF-IDF of unit length."""
-        weights = F.transform(F.arrays_zip("idx", "tf"),
-                              lambda e: e["tf"] * F.element_at(array_lit(self.idf), e["idx"] + 1))
-        size = F.sqrt(F.aggregate("w", F.lit(0.0), lambda a, x: a + x * x))
-        return rows.withColumn("w", weights).select(
-            *keys, "idx", F.transform("w", lambda x: x / size).alias("val"))
+            *keys, F.col("t.idx").alias("idx"), F.col("t.tf").cast("array<double>").alias("val"))
 
     def _joined(self, texts: DataFrame, projected: DataFrame, keys: Sequence[str]) -> DataFrame:
         """SVD and manual places side by side; rows without terms get zeros."""
@@ -86,14 +78,12 @@ class Preprocessor:
         seen = rows.select(*keys, F.explode("idx").alias("idx"))
         frequency = dict(document_frequency(seen).collect())
         n = texts.count()
-        self.idf = [float(np.log((1 + n) / (1 + frequency.get(i, 0))) + 1)
-                    for i in range(len(self.vocabulary))]
-        weighted = self._weighted(rows, keys).persist()
+        df = np.array([frequency.get(i, 0) for i in range(len(self.vocabulary))], dtype=float)
+        self.idf = np.log((1 + n) / (1 + df)) + 1
         self.components, self.singular_values = svd_fit(
-            weighted, len(self.vocabulary), self.svd_dim, self.seed)
-        raw = self._joined(texts, svd_apply(weighted, self.components, keys), keys)
-        self.mean, self.std = moments(raw, "x")
-        weighted.unpersist()
+            rows, len(self.vocabulary), self.svd_dim, self.seed, self.idf)
+        projected = svd_apply(rows, self.components, keys, self.idf)
+        self.mean, self.std = moments(self._joined(texts, projected, keys), "x")
         rows.unpersist()
         return self
 
@@ -102,8 +92,8 @@ class Preprocessor:
         if self.vocabulary is None:
             raise RuntimeError("transform called before fit")
         texts = self._texts(df, keys)
-        weighted = self._weighted(self._rows(texts, keys), keys)
-        raw = self._joined(texts, svd_apply(weighted, self.components, keys), keys)
+        projected = svd_apply(self._rows(texts, keys), self.components, keys, self.idf)
+        raw = self._joined(texts, projected, keys)
         x = zscore("x", array_lit(self.mean), array_lit(self.std)) if self.scale else F.col("x")
         return raw.select(*keys, x.cast("array<float>").alias("features"))
 

@@ -25,8 +25,9 @@ from ..functions.vectors import as_double, l2_normalize
 from ..sizes import join_hot
 from .ranking import exact_median
 
-CELL_ROWS = 1024
+CELL_ROWS = 2048
 BLOCK_ROWS = 4096
+QUERY_ROWS = 512
 PIVOT_BYTES = 64 << 20
 SLACK = 1e-6
 
@@ -56,23 +57,31 @@ def _reach(dist: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
-    """For each query the k+1 best (distance, id) among the members of the points."""
-    dist = np.round(_distances(_stack(queries["v"]), _stack(points["v"]), metric), 12)
-    gids = points["gid"].to_numpy()
+    """For each query the k+1 best (distance, id) among the members of the points.
+    Every point at the k+1-th distance is looked at, so ties are settled by id."""
+    vectors, members = _stack(points["v"]), points["members"]
+    sizes = members.map(len).to_numpy()
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    ids = np.concatenate(list(members)) if len(members) else np.zeros(0, dtype="int64")
     keep = min(k + 1, len(points))
-    by_gid = np.argsort(gids, kind="stable")
-    dist, members = dist[:, by_gid], points["members"].to_numpy()[by_gid]
-    best = np.argsort(dist, axis=1, kind="stable")[:, :keep]
-    q = np.repeat(np.arange(len(queries)), keep)
-    flat = best.ravel()
-    sizes = np.array([len(m) for m in members])[flat]
-    rows = pd.DataFrame({
-        "q": np.repeat(q, sizes),
-        "nbr_id": np.concatenate([members[i] for i in flat]) if len(flat) else [],
-        "dist": np.repeat(dist[q, flat], sizes)})
-    rows = rows.sort_values(["q", "dist", "nbr_id"]).groupby("q", sort=False).head(k + 1)
-    rows["gid"] = queries["gid"].to_numpy()[rows["q"].to_numpy()]
-    return rows[["gid", "nbr_id", "dist"]].astype({"nbr_id": "int64"})
+    out = []
+    for at in range(0, len(queries) if keep else 0, QUERY_ROWS):
+        part = queries.iloc[at:at + QUERY_ROWS]
+        dist = np.round(_distances(_stack(part["v"]), vectors, metric), 12)
+        limit = np.partition(dist, keep - 1, axis=1)[:, keep - 1]
+        q, p = np.nonzero(dist <= limit[:, None])
+        copies = sizes[p]
+        offset = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+        q, p = np.repeat(q, copies), np.repeat(p, copies)
+        nbr, d = ids[starts[p] + offset], dist[q, p]
+        order = np.lexsort((nbr, d, q))
+        q, nbr, d = q[order], nbr[order], d[order]
+        first = np.searchsorted(q, q)          # where the rows of each query begin
+        best = np.arange(len(q)) - first <= k
+        out.append(pd.DataFrame({"gid": part["gid"].to_numpy()[q[best]], "nbr_id": nbr[best],
+                                 "dist": d[best]}))
+    return pd.concat(out) if out else pd.DataFrame(
+        {"gid": np.zeros(0, "int64"), "nbr_id": np.zeros(0, "int64"), "dist": np.zeros(0)})
 
 
 def _points(df: DataFrame, k: int, id_col: str, vec: str, metric: str) -> DataFrame:
@@ -139,7 +148,7 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
                     reach = np.where((vectors ** 2).sum(1) < 0.5, np.inf, reach)
                     zero_cell = radius >= math.pi / 2 - 1e-3
                     room = np.where(zero_cell[None, :], -np.inf, room)
-                q, c = np.nonzero(room <= reach[:, None] + SLACK)
+                q, c = np.nonzero(room <= reach[:, None] + SLACK * (1 + np.abs(room)))
                 visits = [(i, f"{cells[j]}-{b}") for i, j in zip(q, c)
                           for b in range(blocks[int(cells[j])])]
                 if visits:
@@ -150,11 +159,9 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
 
         visits = (queries.mapInPandas(route, "home string, target string, gid long, v array<double>")
                   .where(F.col("home") != F.col("target")).persist())
-        pairs = visits.select("home", "target").distinct()
-        guests = pairs.join(placed.select(F.col("home").alias("target"), F.col("gid"),
-                                          F.col("v"), F.col("members")), "target")
-        away = visits.groupBy("home", "target").cogroup(
-            guests.groupBy("home", "target")).applyInPandas(
+        pairs = visits.select(F.col("home").alias("of"), F.col("target").alias("block")).distinct()
+        guests = pairs.join(placed.select(F.col("home").alias("block"), "gid", "v", "members"), "block")
+        away = visits.groupBy("home", "target").cogroup(guests.groupBy("of", "block")).applyInPandas(
             lambda q, p: _nearest(q, p, k, metric), found)
         home = home.unionByName(away)
 

@@ -21,17 +21,18 @@ def word_grams(word: Column, lo: int = 2, hi: int = 4) -> Column:
     """All n-grams of ' word ' for n = lo..hi; a word shorter than n gives itself
     once, at the first such n."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
-    size = F.length(padded)
-    per_n = F.transform(
-        F.sequence(F.lit(lo), F.greatest(F.lit(lo), F.least(F.lit(hi), size))),
-        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                              lambda i: F.substr(padded, i, n)))
-    return F.flatten(per_n)
+    # a look-ahead matches at every place, so the n-grams may overlap
+    grams = F.concat(*[F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+                       for n in range(lo, hi + 1)])
+    return F.when(F.length(padded) < lo, F.array(padded)).otherwise(grams)
 
 
 def row_words(df: DataFrame, text: str = "text", keys: Sequence[str] = ("id",)) -> DataFrame:
     """(keys, word, n): one shuffle, of the texts."""
-    spread = df.select(*keys, F.col(text)).repartition(*keys)
+    # a fixed number of partitions: the texts are small next to the work on them,
+    # so their size must not decide how many tasks there are
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.select(*keys, F.col(text)).repartition(tasks, *keys)
     return (spread.select(*keys, F.explode(text_words(F.col(text))).alias("word"))
             .groupBy(*keys, "word").agg(F.count("*").alias("n")))
 

@@ -19,18 +19,23 @@ OVERSAMPLE = 10
 ROUNDS = 6
 
 
-def dense_rows(idx, val, width: int) -> np.ndarray:
-    """Rows of (indices, values) as a dense block."""
+def dense_rows(idx, val, width: int, idf: np.ndarray | None = None) -> np.ndarray:
+    """Rows of (indices, values) as a dense block. With `idf` the values are term
+    counts and the rows become TF-IDF rows of unit length."""
     out = np.zeros((len(idx), width))
     sizes = [len(i) for i in idx]
     if sum(sizes):
-        rows = np.repeat(np.arange(len(idx)), sizes)
-        out[rows, np.concatenate([np.asarray(i, dtype=np.int64) for i in idx])] = np.concatenate(
-            [np.asarray(v, dtype=float) for v in val])
+        places = np.concatenate(list(idx)).astype(np.int64)
+        values = np.concatenate(list(val)).astype(float)
+        out[np.repeat(np.arange(len(idx)), sizes), places] = values
+    if idf is not None:
+        out *= idf[None, :]
+        size = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out /= np.where(size > 0, size, 1.0)
     return out
 
 
-def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+def _gram_product(rows: DataFrame, q: np.ndarray, idf: np.ndarray | None) -> np.ndarray:
     """A^T (A q) for the row matrix A held as (idx array, val array)."""
     width, cols = q.shape
     chunks = -(-width // CHUNK)
@@ -40,26 +45,27 @@ def _gram_product(rows: DataFrame, q: np.ndarray) -> np.ndarray:
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 piece = pdf.iloc[at:at + BATCH]
-                a = dense_rows(piece["idx"].tolist(), piece["val"].tolist(), width)
+                a = dense_rows(piece["idx"], piece["val"], width, idf)
                 total[:width] += a.T @ (a @ q)
         yield pd.DataFrame({"chunk": np.arange(chunks, dtype="int32"),
                             "part": list(total.reshape(chunks, CHUNK * cols))})
 
     parts = rows.select("idx", "val").mapInPandas(part, "chunk int, part array<double>")
     sums = (parts.groupBy("chunk").agg(Summarizer.sum(array_to_vector("part")).alias("s"))
-            .select("chunk", vector_to_array("s").alias("s")).orderBy("chunk").collect())
-    return np.concatenate([np.asarray(r["s"]).reshape(CHUNK, cols) for r in sums])[:width]
+            .select("chunk", vector_to_array("s").alias("s")).toPandas().sort_values("chunk"))
+    return np.concatenate([s.reshape(CHUNK, cols) for s in sums["s"]])[:width]
 
 
-def svd_fit(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int = ROUNDS):
-    """(components k x width, singular values k). Signs are fixed by the largest
+def svd_fit(rows: DataFrame, width: int, k: int, seed: int = 42, idf: np.ndarray | None = None,
+            rounds: int = ROUNDS):
+    """(components k x width, singular values k) of rows (idx, val). Signs are fixed by the largest
     entry of each component."""
     k = min(k, width)
     start = np.random.default_rng(seed).standard_normal((width, min(width, k + OVERSAMPLE)))
     q, _ = np.linalg.qr(start)
     for _ in range(rounds):
-        q, _ = np.linalg.qr(_gram_product(rows, q))
-    values, vectors = np.linalg.eigh(q.T @ _gram_product(rows, q))
+        q, _ = np.linalg.qr(_gram_product(rows, q, idf))
+    values, vectors = np.linalg.eigh(q.T @ _gram_product(rows, q, idf))
     best = np.argsort(values)[::-1][:k]
     components = (q @ vectors[:, best]).T
     largest = np.abs(components).argmax(axis=1)
@@ -68,7 +74,8 @@ def svd_fit(rows: DataFrame, width: int, k: int, seed: int = 42, rounds: int = R
     return components, np.sqrt(np.maximum(values[best], 0.0))
 
 
-def svd_apply(rows: DataFrame, components: np.ndarray, keys=("id",)) -> DataFrame:
+def svd_apply(rows: DataFrame, components: np.ndarray, keys=("id",),
+              idf: np.ndarray | None = None) -> DataFrame:
     """(keys, x array<double>): rows projected on the components."""
     turn, width = components.T, components.shape[1]
 
@@ -76,7 +83,7 @@ def svd_apply(rows: DataFrame, components: np.ndarray, keys=("id",)) -> DataFram
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 piece = pdf.iloc[at:at + BATCH]
-                x = dense_rows(piece["idx"].tolist(), piece["val"].tolist(), width) @ turn
+                x = dense_rows(piece["idx"], piece["val"], width, idf) @ turn
                 yield piece[list(keys)].assign(x=list(x))
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
