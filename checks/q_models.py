@@ -8,13 +8,16 @@ from labelaudit.operators.clusters import clustering_metrics
 from labelaudit.operators.metrics import classification_metrics
 from labelaudit.operators.sampling import stratified_split
 
+from labelaudit.session import stored
+
 from .q_knn import rounded
 from .registry import register
 from .views import vectors
 
 
 def _parts(spark, sf):
-    rows = stratified_split(vectors(spark, sf).select("id", "v", "y")).persist()
+    rows = stratified_split(vectors(spark, sf).select("id", "v", "y"))
+    rows = stored(rows, "split")
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 

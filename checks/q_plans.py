@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from labelaudit.operators import reports as rp
+from labelaudit.session import stored
 from labelaudit.plans import audit as au, baselines as bl, noise as nz, scoring as scg, source_study as ss
 
 from .q_knn import rounded
@@ -16,7 +17,7 @@ SEEDS = (42, 7)
 
 
 def _rows(spark, sf):
-    return corpus(spark, sf).persist()
+    return stored(corpus(spark, sf), "corpus")
 
 
 @register("score_table")

@@ -6,6 +6,8 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stored
+
 MAX_ENUMERATED = 7
 
 
@@ -125,7 +127,8 @@ def clustering_metrics(df: DataFrame, cluster: str = "cluster", label: str = "y"
     """(by, ari, nmi, cluster_acc, entropy, n_nonempty) from one contingency table,
     which is kept so that the rows are read once."""
     table, keys = _with_group(contingency(df, cluster, label, by), by)
-    table = table.persist()
+    # a few hundred rows: one partition, so that nothing below is shuffled again
+    table = stored(table, "contingency").coalesce(1)
     out = adjusted_rand(table, cluster, label, keys)
     for part in (normalized_mutual_info(table, cluster, label, keys),
                  cluster_accuracy(table, cluster, label, keys),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.jsontext import canonical, manual_counts
 from ..functions.vectors import zscore
+from ..session import stored
 from .ngrams import document_frequency, row_terms, top_terms
 from .sampling import stratified_split
 from .svd import svd_apply, svd_fit
@@ -74,7 +75,7 @@ class Preprocessor:
         texts = self._texts(df, keys)
         top = top_terms(texts, "text", self.max_features, self.ngram_range)
         self.vocabulary = sorted(r["gram"] for r in top.collect())
-        rows = self._rows(texts, keys).persist()
+        rows = stored(self._rows(texts, keys), "terms")
         seen = rows.select(*keys, F.explode("idx").alias("idx"))
         frequency = dict(document_frequency(seen).collect())
         n = texts.count()
@@ -84,7 +85,6 @@ class Preprocessor:
             rows, len(self.vocabulary), self.svd_dim, self.seed, self.idf)
         projected = svd_apply(rows, self.components, keys, self.idf)
         self.mean, self.std = moments(self._joined(texts, projected, keys), "x")
-        rows.unpersist()
         return self
 
     def transform(self, df: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.draws import draw
 from ..functions.vectors import as_double, l2_normalize
+from ..session import stored
 from ..sizes import join_hot
 from .ranking import exact_median
 
@@ -103,7 +104,7 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
     spark = df.sparkSession
-    points = _points(df, k, id_col, vec, metric).persist()
+    points = stored(_points(df, k, id_col, vec, metric), "points")
     n, rows, most, width = points.agg(
         F.count("*"), F.sum("copies"), F.max("copies"), F.max(F.size("v"))).first()
     if not n:
@@ -120,8 +121,8 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
             cell = spread.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), radius=spread[np.arange(len(batch)), cell])
 
-    placed = points.select("gid", "v", "members").mapInPandas(
-        assign, "gid long, v array<double>, members array<long>, cell int, radius double").persist()
+    placed = stored(points.select("gid", "v", "members").mapInPandas(
+        assign, "gid long, v array<double>, members array<long>, cell int, radius double"), "placed")
     stats = placed.groupBy("cell").agg(F.count("*"), F.max("radius")).collect()
     cells = np.array([r[0] for r in stats])
     radius = np.array([r[2] for r in stats])
@@ -134,7 +135,7 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
     home = placed.groupBy("home").applyInPandas(
         lambda pdf: _nearest(pdf, pdf, k, metric), found)
     if len(blocks) > 1 or max(blocks.values()) > 1:
-        home = home.persist()
+        home = stored(home, "home")
         bound = home.groupBy("gid").agg(F.count("*").alias("have"), F.max("dist").alias("bound"))
         queries = placed.drop("members").join(bound, "gid")
 
@@ -157,8 +158,9 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
                                         "target": [t for _, t in visits],
                                         "gid": take["gid"].to_numpy(), "v": take["v"].to_numpy()})
 
-        visits = (queries.mapInPandas(route, "home string, target string, gid long, v array<double>")
-                  .where(F.col("home") != F.col("target")).persist())
+        visits = stored(
+            queries.mapInPandas(route, "home string, target string, gid long, v array<double>")
+            .where(F.col("home") != F.col("target")), "visits")
         pairs = visits.select(F.col("home").alias("of"), F.col("target").alias("block")).distinct()
         guests = pairs.join(placed.select(F.col("home").alias("block"), "gid", "v", "members"), "block")
         away = visits.groupBy("home", "target").cogroup(guests.groupBy("of", "block")).applyInPandas(

@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import l2_normalize
+from ..session import stored
 from .sampling import stratified_folds
 
 _VEC = "ml_vector"
@@ -118,7 +119,8 @@ def oof_probabilities(df: DataFrame, vec: str, label: str = "y", seed: int = 42,
                       trees: int = 150, max_depth: int = 30, id_col: str = "id") -> DataFrame:
     """(id, label, p): each row scored by a forest that never saw its fold. Folds
     run in turn; the trees of a forest are grown in parallel on the cluster."""
-    dealt = stratified_folds(df.select(id_col, label, vec), folds, seed, label, id_col).persist()
+    dealt = stratified_folds(df.select(id_col, label, vec), folds, seed, label, id_col)
+    dealt = stored(dealt, "folds")
     out = None
     for fold in range(folds):
         model = fit_forest(dealt.where(F.col("fold") != fold), vec, label, trees, seed, max_depth)

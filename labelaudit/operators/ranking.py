@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import stored
+
 BUCKETS = 1 << 14
 WINDOW_ROWS = 1_000_000
 
@@ -70,7 +72,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
                  window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds `<c>_upto` for each column: its sum over rows of the group with an
     order value at or below the row's. `df` holds one row per (keys, order)."""
-    df = df.persist()
+    df = stored(df, "tally")
     if df.count() <= window_rows:
         upto = Window.partitionBy(*keys).orderBy(order)
         return df.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in sums})

@@ -12,6 +12,7 @@ from ..operators.clusters import clustering_metrics
 from ..operators.features import VARIANTS, build_features
 from ..operators.metrics import classification_metrics
 from ..operators.sampling import label_subset
+from ..session import stored
 from .noise import _union
 from .scoring import Settings
 
@@ -41,7 +42,7 @@ def split_features(df: DataFrame, settings: Settings, seed: int, **variant):
     """Train and test rows with features fitted on train."""
     rows, fitted = build_features(df, settings.test_size, seed, svd_dim=settings.svd_dim,
                                   max_features=settings.max_features, **variant)
-    rows = rows.persist()
+    rows = stored(rows, "split")
     return rows.where("split = 'train'"), rows.where("split = 'test'"), fitted
 
 
@@ -62,7 +63,7 @@ def run_baselines(df: DataFrame, seeds=(42, 7, 123), settings: Settings = Settin
         forest = md.fit_forest(train, "features", "y", settings.baseline_trees, seed, settings.max_depth)
         parts.append(_long(_graded(forest, test, "features"), CLASS_METRICS, **tag("RandomForest")))
         soft = md.SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(train, "features")
-        inside = soft.transform(train, "features").persist()
+        inside = stored(soft.transform(train, "features"), "inside")
         parts.append(_long(probe(inside, soft.embed(test, "features"), "embedding"),
                            CLASS_METRICS, **tag("Embedding + probe")))
         parts.append(_long(clustering_metrics(inside), CLUSTER_METRICS, **tag("Soft clusters")))
@@ -78,9 +79,9 @@ def label_efficiency(df: DataFrame, seeds=(42, 7, 123), fractions=(0.01, 0.05, 0
     for seed in seeds:
         train, test, _ = split_features(df, settings, seed)
         soft = md.SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(train, "features")
-        train, test = (soft.embed(d, "features").persist() for d in (train, test))
+        train, test = (stored(soft.embed(d, "features"), "embedded") for d in (train, test))
         for fraction in fractions:
-            some = label_subset(train, fraction, seed).persist()
+            some = stored(label_subset(train, fraction, seed), "subset")
             fits = {
                 "logreg": lambda: (md.fit_logreg(some, "features"), "features"),
                 "rf": lambda: (md.fit_forest(some, "features", "y", settings.baseline_trees, seed,
@@ -108,8 +109,8 @@ def cluster_study(df: DataFrame, seed: int = 42, settings: Settings = Settings()
     both sides plus the probe."""
     train, test, _ = split_features(df, settings, seed)
     soft = md.SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(train, "features")
-    inside = soft.transform(train, "features").persist()
-    outside = soft.transform(test, "features").persist()
+    inside = stored(soft.transform(train, "features"), "inside")
+    outside = stored(soft.transform(test, "features"), "outside")
     table = _union([
         _long(clustering_metrics(inside), CLUSTER_METRICS, part="clustering_train"),
         _long(clustering_metrics(outside), CLUSTER_METRICS, part="clustering_test"),

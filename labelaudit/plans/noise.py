@@ -10,6 +10,7 @@ from ..operators.metrics import noise_detection_metrics
 from ..operators.features import Preprocessor
 from ..operators.models import SoftClusters
 from ..operators.sampling import noise_grid, stratified_split
+from ..session import stored
 from .scoring import SCORES, Settings, Space, fit_space, long_scores, score_table
 
 
@@ -24,8 +25,8 @@ def noise_scores(train: DataFrame, space: Space, rates: Sequence[float],
                  mode: str = "symmetric") -> DataFrame:
     """Every score of every training row at every rate, with the flip mask."""
     grid = noise_grid(train.select("id", "y"), rates, [space.seed], mode).select(
-        "id", "rate", F.col("y_noisy").alias("y"), "mask").persist()
-    return score_table(space, grid, rates)
+        "id", "rate", F.col("y_noisy").alias("y"), "mask")
+    return score_table(space, stored(grid, "labels"), rates)
 
 
 def synthetic_noise_study(df: DataFrame, rates=(0.01, 0.03, 0.05, 0.10, 0.20),
@@ -37,7 +38,7 @@ def synthetic_noise_study(df: DataFrame, rates=(0.01, 0.03, 0.05, 0.10, 0.20),
     parts = []
     for seed in seeds:
         split = stratified_split(df, settings.test_size, seed)
-        train = split.where("split = 'train'").persist()
+        train = stored(split.where("split = 'train'"), "train")
         space = fit_space(train, settings, seed)
         table = noise_scores(train, space, rates, mode)
         graded = noise_detection_metrics(
@@ -61,15 +62,17 @@ def knn_study(df: DataFrame, seeds=(42, 7, 123), rate: float = 0.10, mode: str =
     and in the embedding; one graph per space and seed."""
     parts = []
     for seed in seeds:
-        train = stratified_split(df, settings.test_size, seed).where("split = 'train'").persist()
+        train = stratified_split(df, settings.test_size, seed).where("split = 'train'")
+        train = stored(train, "train")
         pre = Preprocessor(settings.svd_dim, max_features=settings.max_features, seed=seed).fit(train)
-        features = pre.transform(train).persist()
+        features = stored(pre.transform(train), "features")
         soft = SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(features, "features")
-        rows = soft.embed(features, "features").persist()
-        graphs = {"KNN raw": knn.knn_graph(rows, settings.knn_k, vec="features").persist(),
-                  "KNN CC": knn.knn_graph(rows, settings.knn_k, vec="embedding").persist()}
+        rows = stored(soft.embed(features, "features"), "rows")
+        graphs = {"KNN raw": stored(knn.knn_graph(rows, settings.knn_k, vec="features"), "graph"),
+                  "KNN CC": stored(knn.knn_graph(rows, settings.knn_k, vec="embedding"), "graph")}
         labels = noise_grid(train.select("id", "y"), [rate], [seed], mode).select(
-            "id", F.col("y_noisy").alias("y"), "mask").persist()
+            "id", F.col("y_noisy").alias("y"), "mask")
+        labels = stored(labels, "labels")
         graded = noise_detection_metrics(knn_variants(graphs, labels), "score", "mask", ks, ["variant"])
         parts.append(graded.withColumn("seed", F.lit(int(seed))))
     return _union(parts)

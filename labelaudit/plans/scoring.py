@@ -13,6 +13,7 @@ from ..operators import knn, scores as sc
 from ..operators.features import Preprocessor
 from ..operators.models import SoftClusters, oof_probabilities
 from ..operators.views import view_pool
+from ..session import stored
 
 # Scores in table order.
 SCORES = ("confident_learning", "knn_raw", "knn_cc", "cluster_entropy", "view_instability",
@@ -56,14 +57,14 @@ def fit_space(df: DataFrame, settings: Settings, seed: int,
     fitted on these rows (no labels are read)."""
     pre = preprocessor or Preprocessor(settings.svd_dim, max_features=settings.max_features,
                                        seed=seed).fit(df)
-    features = pre.transform(df).persist()
+    features = stored(pre.transform(df), "features")
     clusters = SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(features, "features")
-    rows = clusters.transform(features, "features").persist()
+    rows = stored(clusters.transform(features, "features"), "rows")
     pool = view_pool(df.select("id", "headers", "request"), settings.views, settings.view_config, seed)
     moved = clusters.transform(pre.transform(pool, ("id", "view")), "features")
-    instability = sc.view_instability(moved, "cluster_p").persist()
-    raw = knn.knn_graph(rows, settings.knn_k, vec="features").persist()
-    cc = knn.knn_graph(rows, settings.knn_k, vec="embedding").persist()
+    instability = stored(sc.view_instability(moved, "cluster_p"), "instability")
+    raw = stored(knn.knn_graph(rows, settings.knn_k, vec="features"), "graph")
+    cc = stored(knn.knn_graph(rows, settings.knn_k, vec="embedding"), "graph")
     return Space(rows, raw, cc, instability, pre, clusters, seed, settings)
 
 
@@ -84,7 +85,7 @@ def score_table(space: Space, labels: DataFrame, rates: Sequence[float] = ()) ->
     oof = parts[0]
     for part in parts[1:]:
         oof = oof.unionByName(part)
-    oof = oof.persist()
+    oof = stored(oof, "oof")
     confident = sc.confident_learning(oof, "y", "p", by).select(
         *key, F.col("score").alias("confident_learning"), F.col("flag").alias("cl_flag"), "p")
     raw = knn.knn_disagreement(space.raw_graph, labels, "y", by).withColumnRenamed("score", "knn_raw")
@@ -96,8 +97,8 @@ def score_table(space: Space, labels: DataFrame, rates: Sequence[float] = ()) ->
     placed = sc.cluster_label_mismatch(placed, "cluster", "y", by).withColumnRenamed(
         "score", "cluster_label_mismatch").drop("embedding", "cluster_p", "opposite_distance")
     table = (placed.join(confident, key).join(raw, key).join(cc, key)
-             .join(space.instability.withColumnRenamed("score", "view_instability"), "id").persist())
-    return sc.ensemble(table, by=by)
+             .join(space.instability.withColumnRenamed("score", "view_instability"), "id"))
+    return sc.ensemble(stored(table, "scores"), by=by)
 
 
 def long_scores(table: DataFrame, by: Sequence[str] = (), names: Sequence[str] = SCORES) -> DataFrame:

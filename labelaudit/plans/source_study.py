@@ -10,6 +10,7 @@ from ..functions.text import cut
 from ..operators import knn, reports as rp
 from ..operators.metrics import noise_detection_metrics
 from ..operators.sampling import balanced_subsample, noise_grid, stratified_split
+from ..session import stored
 from .baselines import run_baselines
 from .noise import _union, knn_variants, noise_scores
 from .scoring import Settings, fit_space, long_scores, score_table
@@ -24,21 +25,22 @@ def source_study(df: DataFrame, source, seeds=(42, 7), subsample: int | None = 4
     """All tables of one source, each with a `source` column: summary, balance,
     classification, clustering, synthetic_noise, knn_comparison, real_audit,
     top_suspects. `subsample` is the class-balanced study size, None for all."""
-    rows = df.where(F.col("source") == F.lit(source)).persist()
+    rows = stored(df.where(F.col("source") == F.lit(source)), "source")
     noise, knns, metrics, first, first_rows = [], [], [], None, None
     for seed in seeds:
         part = balanced_subsample(rows, subsample, seed) if subsample else rows
-        part = part.persist()
+        part = stored(part, "sample")
         metrics.append(run_baselines(part, [seed], settings))
         split = stratified_split(part, settings.test_size, seed)
-        train = split.where("split = 'train'").persist()
+        train = stored(split.where("split = 'train'"), "train")
         space = fit_space(train, settings, seed)
         table = noise_scores(train, space, rates)
         graded = noise_detection_metrics(long_scores(table, ["rate"], STUDY_SCORES), "score", "mask",
                                          (50, 100, 200), ["score_name", "rate"])
         noise.append(graded.withColumnRenamed("score_name", "score").withColumn("seed", F.lit(int(seed))))
         labels = noise_grid(train.select("id", "y"), [0.10], [seed]).select(
-            "id", F.col("y_noisy").alias("y"), "mask").persist()
+            "id", F.col("y_noisy").alias("y"), "mask")
+        labels = stored(labels, "labels")
         near = knn_variants({"KNN raw": space.raw_graph, "KNN CC": space.cc_graph}, labels)
         knns.append(noise_detection_metrics(near, "score", "mask", (100,), ["variant"])
                     .select("variant", F.lit(int(seed)).alias("seed"), "roc_auc"))
@@ -46,7 +48,8 @@ def source_study(df: DataFrame, source, seeds=(42, 7), subsample: int | None = 4
             first, first_rows = space, (split, train)
     split, train = first_rows
     scored = score_table(first, train.select("id", "y")).join(
-        with_flags(train.select("id", "headers", "request")).drop("headers", "request"), "id").persist()
+        with_flags(train.select("id", "headers", "request")).drop("headers", "request"), "id")
+    scored = stored(scored, "scored")
 
     tag = lambda d: d.withColumn("source", F.lit(source))
     long = tag(_union(metrics))
