@@ -21,8 +21,8 @@ def word_grams(word: Column, lo: int = 2, hi: int = 4) -> Column:
     """All n-grams of ' word ' for n = lo..hi; a word shorter than n gives itself
     once, at the first such n."""
     padded = F.concat(F.lit(" "), word, F.lit(" "))
-    # a look-ahead matches at every place, so the n-grams may overlap
-    grams = F.concat(*[F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    # a look-ahead takes n characters and the match moves on by one, so they overlap
+    grams = F.concat(*[F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
                        for n in range(lo, hi + 1)])
     return F.when(F.length(padded) < lo, F.array(padded)).otherwise(grams)
 
