@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.draws import draw
 from ..functions.vectors import as_double, l2_normalize
 from ..session import stored
-from ..sizes import join_hot
+from ..sizes import join_hot, join_split
 from .ranking import exact_median
 
 CELL_ROWS = 2048
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
 PIVOT_BYTES = 64 << 20
+MAX_PIVOTS = 1 << 17
+STEP_CELLS = 4_000_000
 SLACK = 1e-6
 
 
@@ -85,6 +87,14 @@ def _nearest(queries: pd.DataFrame, points: pd.DataFrame, k: int, metric: str) -
         {"gid": np.zeros(0, "int64"), "nbr_id": np.zeros(0, "int64"), "dist": np.zeros(0)})
 
 
+def _steps(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """Batches cut so that rows x width stays within a fixed size."""
+    rows = max(1, STEP_CELLS // max(width, 1))
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def _points(df: DataFrame, k: int, id_col: str, vec: str, metric: str) -> DataFrame:
     """(gid, v, members, copies): distinct vectors with their k+1 lowest ids."""
     v = l2_normalize(vec) if metric == "cosine" else as_double(vec)
@@ -111,12 +121,12 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
         return spark.createDataFrame([], "id long, nbrs array<struct<dist:double,nbr_id:bigint>>")
 
     # Pivots: a hash sample, bounded in bytes whatever the data.
-    many = min(math.ceil(n / cell_rows), max(1, PIVOT_BYTES // (8 * width)))
+    many = min(math.ceil(n / cell_rows), max(1, PIVOT_BYTES // (8 * width)), MAX_PIVOTS)
     pivots = np.array([r[0] for r in points.orderBy(draw(0, "pivot", F.col("gid")), "gid")
                        .limit(many).select("v").collect()], dtype=float)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _steps(batches, len(pivots)):
             spread = _spread(_stack(batch["v"]), pivots, metric)
             cell = spread.argmin(1)
             yield batch.assign(cell=cell.astype("int32"), radius=spread[np.arange(len(batch)), cell])
@@ -141,7 +151,7 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
 
         def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pivot_of = pivots[cells]
-            for batch in batches:
+            for batch in _steps(batches, len(cells)):
                 vectors = _stack(batch["v"])
                 reach = np.where(batch["have"] > k, _reach(batch["bound"].to_numpy(), metric), np.inf)
                 room = _spread(vectors, pivot_of, metric) - radius[None, :]
@@ -197,7 +207,10 @@ def with_labels(graph: DataFrame, labels: DataFrame, label: str = "y", by=(),
     grid columns of the labels (the graph is the same for all of them)."""
     own = labels.select(*by, F.col(id_col).alias("id"), F.col(label).alias("y"))
     other = labels.select(*by, F.col(id_col).alias("nbr_id"), F.col(label).alias("nbr_y"))
-    return graph.join(own, "id").join(other, [*by, "nbr_id"])
+    # a row among many copies is the neighbour of all of them: a hot key
+    if by:
+        return join_split(graph.join(own, "id"), other, [*by, "nbr_id"], "nbr_id")
+    return join_split(graph, other, ["nbr_id"], "nbr_id").join(own, "id")
 
 
 def knn_disagreement(graph: DataFrame, labels: DataFrame, label: str = "y", by=(),

@@ -37,9 +37,10 @@ def fit_logreg(train: DataFrame, vec: str, label: str = "y", max_iter: int = 200
 
 def fit_forest(train: DataFrame, vec: str, label: str = "y", trees: int = 200, seed: int = 42,
                max_depth: int = 30):
+    """Random forest; each row remembers its tree nodes, which deep trees need."""
     return RandomForestClassifier(featuresCol=_VEC, labelCol=label, numTrees=trees, seed=seed,
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt",
-                                  maxMemoryInMB=1024).fit(_vectors(train, vec))
+                                  cacheNodeIds=True, maxMemoryInMB=512).fit(_vectors(train, vec))
 
 
 def fit_mlp(train: DataFrame, vec: str, label: str = "y", seed: int = 42, max_iter: int = 60):

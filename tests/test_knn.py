@@ -66,3 +66,19 @@ def test_unknown_metric(spark):
     df = spark.createDataFrame([(1, [1.0])], "id long, v array<double>")
     with pytest.raises(ValueError):
         knn.knn_graph(df, 1, metric="nope")
+
+
+def test_labels_of_hot_neighbours(spark):
+    """One row that is everybody's neighbour joins like any other."""
+    graph = spark.createDataFrame([(i, 0 if i else 1, 0.1, 1) for i in range(500)] +
+                                  [(i, (i + 1) % 500, 0.2, 2) for i in range(1, 400)],
+                                  "id long, nbr_id long, dist double, rank int")
+    labels = spark.createDataFrame([(i, r, (i + r) % 2) for i in range(500) for r in (0, 1)],
+                                   "id long, rate int, y int")
+    plain = labels.where("rate = 0")
+    got = knn.with_labels(graph, plain)
+    assert got.count() == graph.count()
+    assert got.where("y <> id % 2 OR nbr_y <> nbr_id % 2").count() == 0
+    grid = knn.with_labels(graph, labels, by=["rate"])
+    assert grid.count() == 2 * graph.count()
+    assert grid.where("y <> (id + rate) % 2 OR nbr_y <> (nbr_id + rate) % 2").count() == 0
