@@ -4,6 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import permutations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
@@ -92,18 +93,19 @@ def cluster_accuracy(table: DataFrame, cluster: str = "cluster", label: str = "y
                      by: Sequence[str] = ()) -> DataFrame:
     """(by, cluster_acc): accuracy under the best one-to-one matching of clusters
     and classes. The matching needs the k x k counts only (k <= 16)."""
-    spark = table.sparkSession
     table, keys = _with_group(table, by)
     wide = table.agg(F.max(F.greatest(cluster, label)).alias("m")).first()["m"]
     size = int(wide) + 1
     if size > 16:
         raise ValueError("matching is meant for up to 16 clusters and classes")
-    groups: dict = {}
-    for row in table.collect():   # at most 256 cells per group
-        groups.setdefault(tuple(row[k] for k in keys), {})[(row[cluster], row[label])] = row["n"]
-    rows = [(*key, _best_matching(cells, size) / sum(cells.values())) for key, cells in groups.items()]
+
+    def match(group: pd.DataFrame) -> pd.DataFrame:   # at most 256 cells
+        cells = dict(zip(zip(group[cluster], group[label]), group["n"]))
+        return group[keys].head(1).assign(cluster_acc=_best_matching(cells, size) / group["n"].sum())
+
     kinds = ", ".join(f"{k} {table.schema[k].dataType.simpleString()}" for k in keys)
-    return spark.createDataFrame(rows, f"{kinds}, cluster_acc double").select(*by, "cluster_acc")
+    return table.groupBy(*keys).applyInPandas(match, f"{kinds}, cluster_acc double").select(
+        *by, "cluster_acc")
 
 
 def cluster_sizes(table: DataFrame, cluster: str = "cluster", by: Sequence[str] = ()) -> DataFrame:

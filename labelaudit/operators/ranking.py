@@ -95,7 +95,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[
             .drop("bucket", *[f"{c}_base" for c in sums]))
 
 
-def exact_median(df: DataFrame, column: str, window_rows: int = WINDOW_ROWS) -> float:
+def exact_median(df: DataFrame, column: str, window_rows: int = 50_000) -> float:
     """The median as numpy gives it (mean of the two middle values).
 
     The range is narrowed by histograms of counts until the middle values lie in
