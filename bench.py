@@ -9,8 +9,8 @@ from checks.all_queries import QUERIES
 from checks.compare import session
 
 HEADLINE = (
-    "noise_detection_metrics", "knn_graph", "knn_weighted", "noise_grid", "stratified_split",
-    "shape_request", "export_groups", "heuristic_flags", "canonical_json", "view_pool",
+    "shape_request", "noise_grid", "stratified_split", "noise_detection_metrics", "knn_graph",
+    "knn_weighted", "export_groups", "heuristic_flags", "canonical_json", "view_pool",
     "char_ngrams", "tfidf_vocab", "tfidf", "svd_fit", "features_fit_transform",
     "confident_learning", "centroid_distances", "ensemble", "clustering_metrics",
     "overlap_report", "oof_probabilities", "source_study",
