@@ -189,7 +189,7 @@ def test_cluster_edges(spark):
     assert cl.cluster_accuracy(cl.contingency(wide)).first()["cluster_acc"] == 1
 
 
-def sklearn_like_grams(text):
+def plain_grams(text):
     out = []
     for w in text.lower().split():
         w = f" {w} "
@@ -206,7 +206,7 @@ def test_char_ngrams(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     got = {r["gram"]: r["tf"] for r in ng.char_ngrams(df).collect()}
     want = {}
-    for g in sklearn_like_grams(text):
+    for g in plain_grams(text):
         want[g] = want.get(g, 0) + 1
     assert got == want
 
