@@ -7,6 +7,7 @@ from labelaudit.functions.draws import draw
 from labelaudit.operators import knn, metrics
 from labelaudit.operators.ranking import exact_median
 from labelaudit.operators.sampling import inject_label_noise
+from labelaudit.session import stored
 
 from .registry import register
 from .views import probs2, sql, sql_draw, vectors
@@ -39,9 +40,9 @@ DISAGREE = GRAPH + FLIPPED + """, scored AS (
 
 
 def scored(spark, sf):
-    labels = flipped(spark, sf)
+    labels = stored(flipped(spark, sf), "labels")
     score = knn.knn_disagreement(graph(spark, sf), labels)
-    return labels.select("id", "mask").join(score, "id")
+    return stored(labels.select("id", "mask").join(score, "id"), "scored")
 
 
 @register("knn_graph", sql("vectors", GRAPH +

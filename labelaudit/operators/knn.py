@@ -194,11 +194,12 @@ def neighbour_lists(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "
 
 def knn_graph(df: DataFrame, k: int = 20, id_col: str = "id", vec: str = "v",
               metric: str = "cosine", **sizes) -> DataFrame:
-    """Long form: (id, nbr_id, dist, rank), rank from 1."""
+    """Long form: (id, nbr_id, dist, rank), rank from 1. Written once: a graph is
+    read several times (labels, median distance, every noise rate)."""
     lists = neighbour_lists(df, k, id_col, vec, metric, **sizes)
-    return lists.select("id", F.posexplode("nbrs").alias("pos", "n")).select(
+    return stored(lists.select("id", F.posexplode("nbrs").alias("pos", "n")).select(
         "id", F.col("n.nbr_id").alias("nbr_id"), F.col("n.dist").alias("dist"),
-        (F.col("pos") + 1).cast("int").alias("rank"))
+        (F.col("pos") + 1).cast("int").alias("rank")), "graph")
 
 
 def with_labels(graph: DataFrame, labels: DataFrame, label: str = "y", by=(),

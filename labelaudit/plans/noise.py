@@ -68,8 +68,8 @@ def knn_study(df: DataFrame, seeds=(42, 7, 123), rate: float = 0.10, mode: str =
         features = stored(pre.transform(train), "features")
         soft = SoftClusters(settings.clusters, settings.embedding_dims, seed).fit(features, "features")
         rows = stored(soft.embed(features, "features"), "rows")
-        graphs = {"KNN raw": stored(knn.knn_graph(rows, settings.knn_k, vec="features"), "graph"),
-                  "KNN CC": stored(knn.knn_graph(rows, settings.knn_k, vec="embedding"), "graph")}
+        graphs = {"KNN raw": knn.knn_graph(rows, settings.knn_k, vec="features"),
+                  "KNN CC": knn.knn_graph(rows, settings.knn_k, vec="embedding")}
         labels = noise_grid(train.select("id", "y"), [rate], [seed], mode).select(
             "id", F.col("y_noisy").alias("y"), "mask")
         labels = stored(labels, "labels")

@@ -63,8 +63,8 @@ def fit_space(df: DataFrame, settings: Settings, seed: int,
     pool = view_pool(df.select("id", "headers", "request"), settings.views, settings.view_config, seed)
     moved = clusters.transform(pre.transform(pool, ("id", "view")), "features")
     instability = stored(sc.view_instability(moved, "cluster_p"), "instability")
-    raw = stored(knn.knn_graph(rows, settings.knn_k, vec="features"), "graph")
-    cc = stored(knn.knn_graph(rows, settings.knn_k, vec="embedding"), "graph")
+    raw = knn.knn_graph(rows, settings.knn_k, vec="features")
+    cc = knn.knn_graph(rows, settings.knn_k, vec="embedding")
     return Space(rows, raw, cc, instability, pre, clusters, seed, settings)
 
 
