@@ -21,7 +21,7 @@ from .syncmers import mix
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 DIMS = 16
-PER_LANGUAGE = 1000          # documented bound: labelled rows sampled for each language
+PER_LANGUAGE = 600           # documented bound: labelled rows sampled for each language
 MAX_LANGUAGES = 1000         # more distinct labels than that are no languages
 SNIPPET = 6                  # words of the short example each sampled document gives besides its whole
 CHUNK = 1 << 20              # characters of text worked on together
@@ -132,8 +132,8 @@ def examples(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int =
         features, "lang string, draw double, idx array<int>, n array<float>").toPandas()
 
 
-def train(languages: list[str], sample: pd.DataFrame, epochs: int = 4, batch: int = 32, rate: float = 8.0,
-          seed: int = 5) -> Model:
+def train(languages: list[str], sample: pd.DataFrame, least_steps: int = 400, batch: int = 32,
+          rate: float = 25.0, seed: int = 5) -> Model:
     """Softmax on mean embeddings by mini-batch gradient descent; a fifth of the documents is kept for
     the temperature and the threshold."""
     rng, k = np.random.default_rng(seed), len(languages)
@@ -147,8 +147,9 @@ def train(languages: list[str], sample: pd.DataFrame, epochs: int = 4, batch: in
     kept = ((sample["draw"] * 1e9).astype("int64") % 5 == 0).to_numpy()
     idx, n = list(sample["idx"]), [np.asarray(x, "float32") / np.sum(x) for x in sample["n"]]
     train_rows = np.flatnonzero(~kept) if (~kept).any() else np.arange(len(sample))
-    steps = epochs * -(-len(train_rows) // batch)
-    step = 0
+    rounds = -(-len(train_rows) // batch)
+    epochs = max(2, -(-least_steps // rounds))
+    steps, step = epochs * rounds, 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(train_rows), -(-len(train_rows) // batch)):
             places, weight = np.concatenate([idx[r] for r in rows]), np.concatenate([n[r] for r in rows])
@@ -175,7 +176,7 @@ def train(languages: list[str], sample: pd.DataFrame, epochs: int = 4, batch: in
         model.temperature = t
         return -np.log(np.maximum(model.probabilities(logits)[np.arange(len(check)), right], 1e-12)).mean()
 
-    model.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
+    model.temperature = min(np.geomspace(0.2, 5, 40), key=loss)
     top = model.probabilities(logits).max(axis=1)
     model.threshold = float(min(0.5, np.quantile(top, LOST)))
     return model
@@ -206,14 +207,14 @@ def chunks(texts, size: int = CHUNK) -> Iterator[slice]:
 def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` with lang_pred and score. A null text, or one without letters, is UNKNOWN
     with score 0; so is every text if the model has learned nothing."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(model))   # arrays only: executors need not have this module
     out_names = [*keep, "lang_pred", "score"]
     inputs = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("body"))
     schema = T.StructType([*(T.StructField(f"k{i}", documents.schema[c].dataType) for i, c in enumerate(keep)),
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = Model(**shared.value)
         for pdf in batches:
             texts = [t if isinstance(t, str) else None for t in pdf["body"]]
             for part in chunks(texts):
