@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .syncmers import mix
+from .texts import mix
 
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)

@@ -1,9 +1,12 @@
-"""A pass over rows in global order in which every row sees the ones before and after it.
+"""A pass over rows in the order of a key in which every row sees the ones before and after it.
 
-Rows are range partitioned and sorted, so no task holds a whole group. A partition leaves its first
-and last rows to a second pass over those few rows per partition, where partitions meet."""
+The key's range is cut at values of a sample of keys (balance, not results, hangs on it). A first
+look at the keys alone gives the least and greatest key of each part; those few rows go to the part
+before and the part after as guests. Then one shuffle brings every part together, sorted, and each
+task walks through its part; no group is ever held whole."""
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,81 +14,84 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import stored
 
-DONE, EDGE, CONTEXT = 0, 1, 2
+SAMPLED = 30                 # keys sampled per part
+BEFORE, OWN, AFTER = 0, 1, 2
 
 
-def _frame(rows: list, names: list) -> pd.DataFrame:
-    return pd.DataFrame({n: pd.Series([r[k] for r in rows], dtype=object) for k, n in enumerate(names)})
+def _plain(row: tuple) -> tuple:
+    """Without the marks that pandas puts for nulls."""
+    return tuple(None if x is pd.NA or isinstance(x, float) and x != x else x for x in row)
 
 
-def neighbour_pass(df: DataFrame, order: list[Column], visit: Callable, result: T.StructType,
-                   partitions: int, wrap: bool = False) -> DataFrame:
-    """`visit(before, row, after)` for every row of `df`, rows as tuples in column order; `before` and
+def key_parts(keys: DataFrame, parts: int) -> list:
+    """Up to `parts` - 1 cut points of the column `key`, from a sample bounded by parts x SAMPLED."""
+    total = keys.count()
+    if total == 0:
+        return []
+    share = min(1.0, 2.0 * parts * SAMPLED / total)
+    sample = sorted(r[0] for r in keys.sample(share, seed=1).limit(4 * parts * SAMPLED).collect())
+    return sorted({sample[len(sample) * k // parts] for k in range(1, parts)}) if sample else []
+
+
+def neighbour_pass(source: DataFrame, key: Column, columns: list[str], visit: Callable, result: T.StructType,
+                   parts: int, wrap: bool = False, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """`visit(before, row, after)` for every row of `source`, rows as tuples of `columns`; `before` and
     `after` are None at the ends, or with `wrap` the row at the other end. It returns a tuple for
-    `result`. Rows that are equal in `order` are taken in reading order."""
-    inputs, outputs = df.columns, [f"out_{f.name}" for f in result]
-    rows = df.withColumn("_lot", F.monotonically_increasing_id())
-    keys = [*order, F.col("_lot")]
-    spread = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).drop("_lot")
-    schema = T.StructType([T.StructField("state", T.ByteType()), T.StructField("at", T.LongType()),
-                           *(T.StructField(f"in_{f.name}", f.dataType) for f in df.schema),
-                           *(T.StructField(f"out_{f.name}", f.dataType) for f in result)])
-    no_in, no_out = (None,) * len(inputs), (None,) * len(outputs)
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window, seen = [], 0            # the last rows read, at most two before the newest
+    `result`. `key` (a long or a string, never null) gives the order; rows of equal key are ordered by
+    their content, so equal rows are interchangeable. `prepare` makes `columns` out of the source
+    and leaves the columns _key, _part and _side as they are."""
+    spark = source.sparkSession
+    keyed = source.withColumn("_key", key)
+    cuts = key_parts(keyed.select(F.col("_key").alias("key")), parts)
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(cuts, k) for k in keys], dtype="int32")
+
+    part = part_of("_key") if cuts else F.lit(0)
+    ends = (keyed.select("_key").withColumn("part", part).groupBy("part")
+            .agg(F.min("_key").alias("low"), F.max("_key").alias("high")).collect())
+    ends.sort(key=lambda r: r["part"])
+    # (key, part it visits, side): the row after a part's last is the first of the next part
+    calls = [(b["low"], a["part"], AFTER) for a, b in zip(ends, ends[1:])]
+    calls += [(a["high"], b["part"], BEFORE) for a, b in zip(ends, ends[1:])]
+    if wrap and ends:
+        calls += [(ends[0]["low"], ends[-1]["part"], AFTER), (ends[-1]["high"], ends[0]["part"], BEFORE)]
+    kind = keyed.schema["_key"].dataType.simpleString()
+    called = spark.createDataFrame(calls, f"_key {kind}, _part int, _side int")
+    # two or so rows per part: small whatever the data
+    guests = stored(prepare(keyed.join(F.broadcast(called), "_key")).select("_key", "_part", "_side", *columns), "guests")
+    own = prepare(keyed.withColumns({"_part": part, "_side": F.lit(OWN)})).select("_key", "_part", "_side", *columns)
+    rows = own.unionByName(guests)
+    order = ["_part", "_side", "_key", F.xxhash64(*columns)]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = here = None
+        done = []
+
+        def out():
+            return pd.DataFrame({n: pd.Series([r[k] for r in done], dtype=object) for k, n in enumerate(result.names)})
+
         for pdf in batches:
-            done = []
-            for row in pdf.itertuples(index=False, name=None):
-                row = tuple(None if x is None or x is pd.NA or x != x else x for x in row)
-                window = [*window[-2:], row]
-                seen += 1
-                if seen == 1:
-                    done.append((EDGE, 0, *row, *no_out))
-                elif seen == 2:
-                    done.append((CONTEXT, 1, *row, *no_out))
-                if seen >= 3:
-                    done.append((DONE, None, *no_in, *visit(*window)))
-            yield _frame(done, schema.names)
-        if seen >= 2:
-            last = [(EDGE, seen - 1, *window[-1], *no_out)]
-            if seen >= 4:
-                last.insert(0, (CONTEXT, seen - 2, *window[-2], *no_out))
-            yield _frame(last, schema.names)
-
-    passed = stored(spread.mapInPandas(inside, schema).withColumn("part", F.spark_partition_id()), "neighbours")
-    edges = passed.where(F.col("state") != DONE).select("part", "state", "at", *[f"in_{c}" for c in inputs])
-
-    def across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((r[1], r[3:]) for pdf in batches for r in pdf.itertuples(index=False, name=None))
-        rows = ((s, tuple(None if x is None or x is pd.NA or x != x else x for x in r)) for s, r in rows)
-        first = next(rows, None)
-        if first is None:
-            return
-        out, before, here, held = [], None, first, first
-
-        def step(before, here, after):
-            if here[0] == EDGE:
-                out.append(visit(before, here[1], after))
-
-        starts = []                     # the very first row waits for the very last with wrap
-        for after in rows:
-            if here is first and wrap:
-                starts.append(after[1])
-            else:
-                step(before and before[1], here, after[1])
-            before, here = here, after
-            if len(out) >= 64:
-                yield _frame(out, result.names)
-                out.clear()
-        if here is first:               # one row in all
-            step(first[1] if wrap else None, here, first[1] if wrap else None)
-        else:
-            step(before[1], here, first[1] if wrap else None)
-            if wrap:
-                step(here[1], held, starts[0])
-        yield _frame(out, result.names)
-
-    # a few rows per partition, whatever the data
-    met = edges.repartition(1).sortWithinPartitions("part", "at").mapInPandas(across, result)
-    return passed.where(F.col("state") == DONE).select(*[F.col(f"out_{n}").alias(n) for n in result.names]).unionByName(met)
+            for part, side, *row in pdf.itertuples(index=False, name=None):
+                row = (part, side, _plain(tuple(row)))
+                if here is not None and here[0] != part:
+                    if here[1] == OWN:
+                        done.append(visit(before, here[2], None))
+                    before = here = None
+                if here is not None and here[1] == OWN:
+                    done.append(visit(before, here[2], row[2]))
+                if here is not None and here[1] == AFTER:
+                    continue                       # only the first guest behind counts
+                before = here[2] if here is not None else None
+                here = row
+            yield out()
+            done.clear()
+        if here is not None and here[1] == OWN:
+            done.append(visit(before, here[2], None))
+            yield out()
+
+    # guests of equal key come in content order too: the last of those before, the first of those after
+    walked = (rows.repartitionById(max(1, len(cuts) + 1), "_part").sortWithinPartitions(*order)
+              .select("_part", "_side", *columns))
+    return walked.mapInPandas(walk, result)

@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import language, packing, perspectives, sharding, syncmers
+from . import decontaminate, jaccard_join, language, packing, pages, perspectives, sharding, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -44,6 +44,22 @@ def document_fingerprints(spark, sf_dir):
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"), partitions)
 
 
+@register("op6_benchmark_decontamination")
+def benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_ngram_jaccard_join")
+def ngram_jaccard_join(spark, sf_dir):
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op9_html_extraction")
+def html_extraction(spark, sf_dir):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pages.extract(table(spark, sf_dir, "pages"), parts)
+
+
 @register("op10_chat_formatting", perspectives.SQL)
 def chat_formatting(spark, sf_dir):
     return perspectives.rotate(table(spark, sf_dir, "conversations"))

@@ -14,19 +14,11 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .neighbours import neighbour_pass
+from .texts import mix
 
 K, S, KEPT = 20, 6, 128
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit values (a multiply and xor-shift finish)."""
-    x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x9E3779B97F4A7C15)
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def _runs(codes: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
     """Hashes of the runs of `size` codes, of all or those that begin `at`."""
     n = len(codes) - size + 1
@@ -109,8 +101,8 @@ def fingerprint_documents(documents: DataFrame, partitions: int) -> DataFrame:
     """`RESULT`: the fingerprint of every document and of its edited text, whose last half is the
     beginning of the next document by descending doc_id (after the last the first).
 
-    Null text is empty. Rows of equal doc_id follow one another by text, equal rows in reading order;
-    null ids come last. A single document is its own next. One shuffle moves the texts."""
+    Null text is empty. Rows of equal doc_id follow one another by a hash of their content; null ids
+    come last. A single document is its own next. One shuffle moves the texts."""
     kind = documents.schema["doc_id"].dataType
     result = T.StructType([T.StructField("doc_id", kind), *RESULT.fields[1:]])
 
@@ -122,5 +114,6 @@ def fingerprint_documents(documents: DataFrame, partitions: int) -> DataFrame:
         return (row[0], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
                 pack_anchors(own), pack_anchors(other), likeness(own, other), likeness(own, anchors(following)))
 
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    return neighbour_pass(documents.select("doc_id", "text"), order, visit, result, partitions, wrap=True)
+    last = F.lit((1 << 63) - 1)        # null ids come last
+    key = F.coalesce(-F.col("doc_id").cast("long"), last)
+    return neighbour_pass(documents.select("doc_id", "text"), key, ["doc_id", "text"], visit, result, partitions, wrap=True)
