@@ -26,7 +26,7 @@ from .components import components, release
 from .texts import BASE, Powers, chunks, mix, raw, shingle_hashes, word_hashes
 
 PERCENT = 80
-HOT = 16                     # sets of a signature above which it may be left out
+HOT = 1                      # sets of a signature above which it may be left out
 BLOOM = 1 << 24              # bits of the filter for sets to be compared
 EXACT, PROBE, DEEP, LEFT = 1, 2, 4, 8      # flags of a row; above them how much its set may leave out
 
@@ -38,7 +38,7 @@ SEGMENTS = (BANDS[1:] - 1) // 4 + 1
 
 
 def deep(h: np.ndarray) -> np.ndarray:
-    return np.minimum(h + 1, 4 + h // 5)
+    return np.minimum(h + 1, 10 + h // 7)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, table: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +151,8 @@ def set_table(documents: DataFrame) -> DataFrame:
 
 
 def signature_groups(documents: DataFrame) -> DataFrame:
-    """(signature, set_id, flag, leader, n), stored: rows of signatures that two sets or more have and
-    by which some set looks others up. The leader is the least set whose own segment it is."""
+    """(signature, set_id, flag, n), stored: rows of signatures that two sets or more have and by which
+    some set looks others up."""
     schema = _fields(("signature", T.LongType()), ("set_id", T.LongType()), ("flag", T.ShortType()))
 
     def make(hashes, sizes, ids, batch, seen):
@@ -162,18 +162,17 @@ def signature_groups(documents: DataFrame) -> DataFrame:
 
     rows = _each_batch(documents.select("text"), schema, make)
     same = Window.partitionBy("signature")
-    is_exact = F.col("flag").bitwiseAND(EXACT) > 0
     grouped = rows.withColumns({
-        "n": F.count("*").over(same), "leader": F.min(F.when(is_exact, F.col("set_id"))).over(same),
-        "first": F.min("set_id").over(same), "last": F.max("set_id").over(same),
-        "looks": F.max(F.col("flag").bitwiseAND(PROBE)).over(same)})
-    met = grouped.where("n > 1 AND first <> last AND leader IS NOT NULL AND looks > 0")
-    return stored(met.select("signature", "set_id", "flag", "leader", "n").distinct(), "signatures")
+        "n": F.count("*").over(same), "first": F.min("set_id").over(same), "last": F.max("set_id").over(same),
+        "exact": F.max(F.col("flag").bitwiseAND(EXACT)).over(same), "looks": F.max(F.col("flag").bitwiseAND(PROBE)).over(same)})
+    met = grouped.where("n > 1 AND first <> last AND exact > 0 AND looks > 0")
+    return stored(met.select("signature", "set_id", "flag", "n").distinct(), "signatures")
 
 
 def spend(groups: DataFrame) -> DataFrame:
-    """`groups` after each set has left out the dearest of the signatures it looks others up by, as
-    many as it may; groups by which nobody looks any more are gone."""
+    """(signature, set_id, exact, looks, leader, led_exact): `groups` after each set has left out the
+    dearest of the signatures it looks others up by, as many as it may; groups by which nobody looks
+    any more are gone. The leader looks itself, by its own segment if there is such a set."""
     looks = F.col("flag").bitwiseAND(PROBE) > 0
     allowed = F.floor(F.col("flag") / LEFT)
     # a segment with a neighbourhood counts twice: without its own signature the latter is worth nothing
@@ -182,11 +181,13 @@ def spend(groups: DataFrame) -> DataFrame:
     order = Window.partitionBy("set_id").orderBy(F.col("n").desc(), "signature", "flag").rowsBetween(Window.unboundedPreceding, 0)
     skipped = (dear.withColumn("spent", F.sum(cost).over(order)).where(F.col("spent") <= allowed)
                .select("signature", "set_id", "flag", F.lit(True).alias("skipped")))
-    kept = groups.join(skipped, ["signature", "set_id", "flag"], "left").withColumn(
-        "looks", looks & F.col("skipped").isNull())
-    wanted = kept.groupBy("signature").agg(F.max("looks").alias("wanted")).where("wanted").select("signature")
-    return kept.join(wanted, "signature").select(
-        "signature", "set_id", "leader", (F.col("flag").bitwiseAND(EXACT) > 0).alias("exact"), "looks")
+    kept = groups.join(skipped, ["signature", "set_id", "flag"], "left").select(
+        "signature", "set_id", (F.col("flag").bitwiseAND(EXACT) > 0).alias("exact"),
+        (looks & F.col("skipped").isNull()).alias("looks"))
+    same = Window.partitionBy("signature")
+    best = F.min(F.when(F.col("looks"), F.struct((~F.col("exact")).alias("digs"), "set_id"))).over(same)
+    return kept.withColumn("leader", best).where("leader IS NOT NULL").select(
+        "signature", "set_id", "exact", "looks", F.col("leader.set_id").alias("leader"), (~F.col("leader.digs")).alias("led_exact"))
 
 
 def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -231,7 +232,7 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     groups = stored(spend(signature_groups(documents)), "groups")
     release(spark)
     pair = [F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")]
-    stars = stored(groups.where("set_id <> leader").select(*pair).distinct(), "pairs")
+    stars = stored(groups.where("set_id <> leader AND (exact OR led_exact)").select(*pair).distinct(), "pairs")
     wanted = groups.select("set_id").distinct()
     elements = element_table(documents, wanted)
     first = stored(verified(stars, elements), "verified")
