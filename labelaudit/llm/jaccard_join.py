@@ -10,9 +10,12 @@ needs, and each set spends these where its signatures cost most: on empty segmen
 of single shingles, and then on the signatures that most other sets share. It still has rows for
 them, which others may find, but looks nobody up by them.
 
-Sets that share a signature are candidates. Those of a signature are first compared with the least of
-them only; what that joins into a component needs no further look, and only candidates of different
-components are then compared one by one. Equal sets are one set throughout."""
+Sets that share a signature are candidates. Those of a signature are first compared with one of them
+only, its leader, the set that shares most; what that joins into a component needs no further look.
+Candidates of different components come next: in a small group each with each, in a large one by what
+they differ in from the leader. Of two sets that are not both similar to the leader the differences
+have some shingle in common, and a prefix filter on the differences finds it without a look at all
+pairs. Equal sets are one set throughout."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from .texts import BASE, Powers, chunks, mix, raw, shingle_hashes, word_hashes
 
 PERCENT = 80
 HOT = 1                      # sets of a signature above which it may be left out
+LARGE = 8                    # sets of a signature above which differences are joined
 BLOOM = 1 << 24              # bits of the filter for sets to be compared
 EXACT, PROBE, DEEP, LEFT = 1, 2, 4, 8      # flags of a row; above them how much its set may leave out
 
@@ -170,9 +174,9 @@ def signature_groups(documents: DataFrame) -> DataFrame:
 
 
 def spend(groups: DataFrame) -> DataFrame:
-    """(signature, set_id, exact, looks, leader, led_exact): `groups` after each set has left out the
-    dearest of the signatures it looks others up by, as many as it may; groups by which nobody looks
-    any more are gone. The leader looks itself, by its own segment if there is such a set."""
+    """(signature, set_id, exact, looks, n, leader): `groups` after each set has left out the dearest of
+    the signatures it looks others up by, as many as it may; groups by which nobody looks any more are
+    gone. The leader looks itself and shares most with others, over all its signatures."""
     looks = F.col("flag").bitwiseAND(PROBE) > 0
     allowed = F.floor(F.col("flag") / LEFT)
     # a segment with a neighbourhood counts twice: without its own signature the latter is worth nothing
@@ -181,13 +185,14 @@ def spend(groups: DataFrame) -> DataFrame:
     order = Window.partitionBy("set_id").orderBy(F.col("n").desc(), "signature", "flag").rowsBetween(Window.unboundedPreceding, 0)
     skipped = (dear.withColumn("spent", F.sum(cost).over(order)).where(F.col("spent") <= allowed)
                .select("signature", "set_id", "flag", F.lit(True).alias("skipped")))
-    kept = groups.join(skipped, ["signature", "set_id", "flag"], "left").select(
-        "signature", "set_id", (F.col("flag").bitwiseAND(EXACT) > 0).alias("exact"),
-        (looks & F.col("skipped").isNull()).alias("looks"))
+    kept = groups.join(skipped, ["signature", "set_id", "flag"], "left").groupBy("signature", "set_id").agg(
+        F.max(F.col("flag").bitwiseAND(EXACT) > 0).alias("exact"), F.max(looks & F.col("skipped").isNull()).alias("looks"))
     same = Window.partitionBy("signature")
-    best = F.min(F.when(F.col("looks"), F.struct((~F.col("exact")).alias("digs"), "set_id"))).over(same)
-    return kept.withColumn("leader", best).where("leader IS NOT NULL").select(
-        "signature", "set_id", "exact", "looks", F.col("leader.set_id").alias("leader"), (~F.col("leader.digs")).alias("led_exact"))
+    looked = stored(kept.withColumns({"n": F.count("*").over(same), "any": F.max("looks").over(same)})
+                    .where(F.col("any") & (F.col("n") > 1)).drop("any"), "looked")
+    weight = looked.groupBy("set_id").agg(F.sum("n").alias("weight"))
+    best = F.max(F.when(F.col("looks"), F.struct("weight", "set_id"))).over(same)
+    return looked.join(weight, "set_id").withColumn("leader", best["set_id"]).drop("weight")
 
 
 def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -215,15 +220,44 @@ def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "elements")
 
 
+def _with_elements(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> DataFrame:
+    """`pairs` with the shingles x of the set in column `a` and y of that in `b`."""
+    left = elements.select(F.col("set_id").alias(a), F.col("elements").alias("x"))
+    right = elements.select(F.col("set_id").alias(b), F.col("elements").alias("y"))
+    return pairs.join(left, a).join(right, b)
+
+
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact counts."""
-    left = elements.select(F.col("set_id").alias("a"), F.col("elements").alias("x"))
-    right = elements.select(F.col("set_id").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(left, "a").join(right, "b")
-    n, m = F.size("x"), F.size("y")
-    shared = F.size(F.array_intersect("x", "y"))
-    return (both.where((100 * F.least(n, m) >= PERCENT * F.greatest(n, m))).withColumn("i", shared)
-            .where(100 * F.col("i") >= PERCENT * (n + m - F.col("i"))).select("a", "b"))
+    n, m, i = F.size("x"), F.size("y"), F.col("i")
+    return (_with_elements(pairs, elements, "a", "b").where(100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
+            .withColumn("i", F.size(F.array_intersect("x", "y")))
+            .where(100 * i >= PERCENT * (n + m - i)).select("a", "b"))
+
+
+def differing_pairs(family: DataFrame, elements: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) among the sets (leader, set_id, component) compared with one leader, of
+    different components: all that are similar, and few others.
+
+    With d shingles of difference from the leader, similar sets a and b have at least
+    t = (d(a) + d(b) - (size(a) + size(b)) / 9) / 2 of them in common. For a set that is not similar to
+    the leader t is at least 0.9 of what d exceeds a ninth of its and the leader's size by; for one that
+    is, with a partner that is not, above 4/9 of d. So the first d - t + 1 differences of both have one
+    in common, in an order that both share: first shingles the leader has not, which are the rarer."""
+    n, m, d = F.size("x"), F.size("y"), F.size("delta")
+    over = d - (n + m) / 9
+    need = F.when(over > 0, F.greatest(F.lit(1), F.ceil(0.9 * over - 1e-6))).otherwise(F.floor(4 * d / 9) + 1)
+    deltas = (_with_elements(family, elements, "set_id", "leader")
+              .withColumn("delta", F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))))
+              .select("leader", "set_id", "component", n.alias("size"), d.alias("d"), F.posexplode(
+                  F.slice("delta", F.lit(1), F.greatest(F.lit(0), d - need + 1).cast("int"))).alias("at", "shingle")))
+    deltas = stored(deltas, "differences")
+    a, b = deltas.alias("a"), deltas.alias("b")
+    return (a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.shingle") == F.col("b.shingle")))
+            .where("""a.set_id < b.set_id AND a.component <> b.component
+                      AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
+                      AND 2 * least(a.d - a.at, b.d - b.at) >= a.d + b.d - floor((a.size + b.size) / 9)""")
+            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
 
 
 def similar_sets(documents: DataFrame) -> DataFrame:
@@ -231,21 +265,26 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     groups = stored(spend(signature_groups(documents)), "groups")
     release(spark)
-    pair = [F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")]
-    stars = stored(groups.where("set_id <> leader AND (exact OR led_exact)").select(*pair).distinct(), "pairs")
-    wanted = groups.select("set_id").distinct()
-    elements = element_table(documents, wanted)
+    stars = stored(groups.where("set_id <> leader").select(
+        F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "pairs")
+    elements = element_table(documents, groups.select("set_id").distinct())
     first = stored(verified(stars, elements), "verified")
     part = components(first)
     labelled = groups.join(part.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
-    mixed = labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    open_rows = stored(labelled.where("set_id <> leader").join(mixed.select("signature"), "signature")
-                       .select("signature", "set_id", "exact", "looks", "component"), "open")
-    a, b = open_rows.alias("a"), open_rows.alias("b")
+    # a group with one set that looks has been seen whole: that set is its leader
+    mixed = (labelled.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                               F.count(F.when(F.col("looks"), 1)).alias("lookers"))
+             .where("low <> high AND lookers > 1").select("signature"))
+    open_rows = stored(labelled.where("set_id <> leader").join(mixed, "signature"), "open")
+    release(spark)
+    few = open_rows.where(F.col("n") <= LARGE)
+    a, b = few.alias("a"), few.alias("b")
     rest = (a.join(b, F.col("a.signature") == F.col("b.signature"))
             .where("a.set_id < b.set_id AND a.component <> b.component AND (a.exact OR b.exact) AND (a.looks OR b.looks)")
-            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")).distinct())
+            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
+    family = open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct()
+    rest = stored(rest.unionByName(differing_pairs(family, elements)).distinct(), "pairs")
     second = verified(rest, elements)
     links = first.unionByName(second).unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(links)

@@ -95,9 +95,18 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(docs)
 
 
-def test_hot_signatures_are_left_out_safely(spark, monkeypatch):
-    monkeypatch.setattr(jj, "HOT", 1)
-    docs = families(random.Random(3), 80)
+@pytest.mark.parametrize("large", [1, 10**9])
+def test_one_large_family_either_way(spark, monkeypatch, large):
+    """Copies of one text with one to six edits each: some pairs are similar, most are not."""
+    monkeypatch.setattr(jj, "LARGE", large)
+    rng = random.Random(9)
+    base = [f"b{k}" for k in range(145)]
+    docs = families(rng, 30)
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.choice([rng.randrange(145), rng.randrange(20)])] = f"e{rng.randrange(500)}"
+        docs.append((len(docs), " ".join(copy)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.near_duplicates(df).collect()) == brute(docs)
 
