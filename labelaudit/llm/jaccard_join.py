@@ -18,9 +18,11 @@ have some shingle in common, and a prefix filter on the differences finds it wit
 pairs. Equal sets are one set throughout."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
@@ -31,6 +33,7 @@ from .texts import BASE, Powers, chunks, mix, raw, shingle_hashes, word_hashes
 PERCENT = 80
 HOT = 1                      # sets of a signature above which it may be left out
 LARGE = 8                    # sets of a signature above which differences are joined
+COUNTS = 1 << 18             # cells of the table of shingle counts
 BLOOM = 1 << 24              # bits of the filter for sets to be compared
 EXACT, PROBE, DEEP, LEFT = 1, 2, 4, 8      # flags of a row; above them how much its set may leave out
 
@@ -243,14 +246,29 @@ def differing_pairs(family: DataFrame, elements: DataFrame) -> DataFrame:
     t = (d(a) + d(b) - (size(a) + size(b)) / 9) / 2 of them in common. For a set that is not similar to
     the leader t is at least 0.9 of what d exceeds a ninth of its and the leader's size by; for one that
     is, with a partner that is not, above 4/9 of d. So the first d - t + 1 differences of both have one
-    in common, in an order that both share: first shingles the leader has not, which are the rarer."""
-    n, m, d = F.size("x"), F.size("y"), F.size("delta")
-    over = d - (n + m) / 9
-    need = F.when(over > 0, F.greatest(F.lit(1), F.ceil(0.9 * over - 1e-6))).otherwise(F.floor(4 * d / 9) + 1)
-    deltas = (_with_elements(family, elements, "set_id", "leader")
-              .withColumn("delta", F.concat(F.sort_array(F.array_except("x", "y")), F.sort_array(F.array_except("y", "x"))))
-              .select("leader", "set_id", "component", n.alias("size"), d.alias("d"), F.posexplode(
-                  F.slice("delta", F.lit(1), F.greatest(F.lit(0), d - need + 1).cast("int"))).alias("at", "shingle")))
+    in common, in any order that both share: shingles the leader has not come first, rare ones before
+    frequent ones (by counts in a table of fixed size, so that some shingles count together)."""
+    counts = (elements.select(F.explode("elements").alias("shingle"))
+              .groupBy(F.pmod("shingle", F.lit(COUNTS)).alias("cell")).count().toPandas())
+    table = np.zeros(COUNTS, "int64")
+    table[counts["cell"].to_numpy("int64")] = counts["count"]
+    shared = elements.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
+        for pdf in batches:
+            rows = []
+            for leader, set_id, component, x, y in pdf.itertuples(index=False, name=None):
+                delta = np.setxor1d(x, y, assume_unique=True)
+                order = np.lexsort((delta, often[delta % COUNTS], np.isin(delta, y)))
+                d, over = len(delta), len(delta) - (len(x) + len(y)) / 9
+                need = max(1, math.ceil(0.9 * over - 1e-6)) if over > 0 else 4 * d // 9 + 1
+                rows.append(pd.DataFrame({"leader": leader, "set_id": set_id, "component": component, "size": len(x),
+                                          "d": d, "at": np.arange(max(0, d - need + 1)), "shingle": delta[order][:max(0, d - need + 1)]}))
+            yield pd.concat(rows)
+
+    deltas = (_with_elements(family, elements, "set_id", "leader").select("leader", "set_id", "component", "x", "y")
+              .mapInPandas(run, "leader long, set_id long, component long, size int, d int, at int, shingle long"))
     deltas = stored(deltas, "differences")
     a, b = deltas.alias("a"), deltas.alias("b")
     return (a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.shingle") == F.col("b.shingle")))
