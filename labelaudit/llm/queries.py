@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import decontaminate, jaccard_join, language, packing, pages, perspectives, sharding, syncmers
+from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, sharding, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -44,6 +44,12 @@ def document_fingerprints(spark, sf_dir):
     return syncmers.fingerprint_documents(table(spark, sf_dir, "documents"), partitions)
 
 
+@register("op5_line_dedup", line_runs.SQL)
+def line_dedup(spark, sf_dir):
+    return (line_runs.drop_repeated_lines(table(spark, sf_dir, "documents"))
+            .select("doc_id", "text", "n_lines", "n_removed"))
+
+
 @register("op6_benchmark_decontamination")
 def benchmark_decontamination(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
