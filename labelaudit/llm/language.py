@@ -209,17 +209,18 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     with score 0; so is every text if the model has learned nothing."""
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))   # arrays only: executors need not have this module
     out_names = [*keep, "lang_pred", "score"]
-    inputs = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col("text").alias("body"))
+    body, extra = (f"k{keep.index('text')}", []) if "text" in keep else ("body", ["body"])
+    inputs = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *[F.col("text").alias(c) for c in extra])
     schema = T.StructType([*(T.StructField(f"k{i}", documents.schema[c].dataType) for i, c in enumerate(keep)),
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(**shared.value)
         for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf["body"]]
+            texts = [t if isinstance(t, str) else None for t in pdf[body]]
             for part in chunks(texts):
                 names, top = model.predict(texts[part])
-                yield pdf.iloc[part].drop(columns="body").assign(lang_pred=names, score=top)
+                yield pdf.iloc[part].drop(columns=extra).assign(lang_pred=names, score=top)
 
     return inputs.mapInPandas(run, schema).toDF(*out_names)
 

@@ -120,13 +120,13 @@ SQL = """
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),
 w AS (
-  SELECT doc_id, l, list_transform(l, x -> len(regexp_extract_all(x, '\\S+'))) AS n FROM l),
+  SELECT doc_id, l, list_transform(l, lambda x: len(regexp_extract_all(x, '\\S+'))) AS n FROM l),
 p AS (
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, l, n FROM w),
 q AS (
   SELECT doc_id, i, l,
-         list_filter(range(1, least(50, len(l) - i + 1) + 1), k -> list_sum(n[i:i + k - 1]) >= 50)[1] AS f,
-         list_filter(range(1, least(50, i) + 1), k -> list_sum(n[i - k + 1:i]) >= 50)[1] AS b
+         list_filter(range(1, least(50, len(l) - i + 1) + 1), lambda k: list_sum(n[i:i + k - 1]) >= 50)[1] AS f,
+         list_filter(range(1, least(50, i) + 1), lambda k: list_sum(n[i - k + 1:i]) >= 50)[1] AS b
   FROM p),
 r AS (
   SELECT doc_id, i AS first, f AS size, list_aggregate(l[i:i + f - 1], 'string_agg', chr(10)) AS run FROM q WHERE f IS NOT NULL

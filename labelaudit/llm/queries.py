@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, sharding, syncmers
+from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, sharding, substrings, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -60,6 +60,11 @@ def ngram_jaccard_join(spark, sf_dir):
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register("op8_suffix_array_dedup")
+def suffix_array_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @register("op9_html_extraction")
 def html_extraction(spark, sf_dir):
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
