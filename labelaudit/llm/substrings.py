@@ -82,7 +82,7 @@ def merge(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchor_rows(documents: DataFrame) -> DataFrame:
-    """(key, context, doc, tag, first, back, more) for documents (doc, tag, text). Contexts that a lesser
+    """(key, context, doc, tag, first, back, more) for documents (doc, tag, text), dealt by key. Contexts that a lesser
     document of the same batch has are settled at once: their merged stretches are rows with back -1
     and the end in `more`."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "context", "doc", "place")])
@@ -114,7 +114,8 @@ def anchor_rows(documents: DataFrame) -> DataFrame:
                 out.append([spread.view("int64"), end, np.full(len(begin), docs[k]), -1 - (begin * TAG + tags[k])])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("int64")) for x in zip(*out)], names=schema.names)
 
-    rows = documents.mapInArrow(run, schema)
+    # the four numbers are moved, once: both groupings below lie inside that of the keys
+    rows = documents.mapInArrow(run, schema).repartition("key")
     place, settled = F.col("place"), F.col("place") < 0
     code = F.when(settled, -1 - place).otherwise(F.expr(f"place div {SPAN * SPAN}"))
     return rows.select(
