@@ -32,7 +32,8 @@ LENGTH = 50
 KEY = 20
 SPAN = LENGTH - KEY + 1      # strings that may have one anchor
 MANY = 2000
-SHALLOW = 24                 # bytes sorted by quicksort; longer common prefixes go to tries
+SHALLOW = 40                 # bytes sorted by quicksort; longer common prefixes go to tries
+TOGETHER = 100_000           # strings sorted together, whole keys
 LAST_DOC = (1 << 63) - 1     # order of a null id
 TAG_BITS = 12                # rows of one id but another text are told apart by a tag of so many bits
 TAG = 1 << TAG_BITS
@@ -169,24 +170,28 @@ def blind_trie_order(texts: list[bytes], numbers: list[int], depth: int) -> list
     return out
 
 
-def equal_strings(strings: np.ndarray) -> list[np.ndarray]:
-    """Groups of equal rows of an (n, LENGTH) byte array, in sorted order of the strings."""
+def equal_strings(strings: np.ndarray, lead: np.ndarray | None = None) -> list[np.ndarray]:
+    """Groups of equal rows of an (n, LENGTH) byte array, in sorted order of `lead` and the strings.
+    All groups of a depth are sorted in one go; `lead` keeps strings apart that need not meet."""
     padded = np.zeros((len(strings), -(-LENGTH // 8) * 8), "uint8")
     padded[:, :LENGTH] = strings
-    words = padded.view(">u8")
-    groups, depth = [np.arange(len(strings))], 0
-    while depth < SHALLOW and groups:       # multikey quicksort, one word at a time
-        deeper = []
-        for g in groups:
-            order = np.argsort(words[g, depth // 8], kind="quicksort")
-            g = g[order]
-            cuts = np.flatnonzero(np.diff(words[g, depth // 8])) + 1
-            deeper += [x for x in np.split(g, cuts) if len(x) > 1]
-        groups, depth = deeper, depth + 8
+    words = padded.view(">u8").astype("uint64")
+    group = np.zeros(len(strings), "int64") if lead is None else lead
+    rows, depth = np.arange(len(strings)), 0
+    while depth < SHALLOW and len(rows):    # multikey quicksort, one word at a time
+        word = words[rows, depth // 8]
+        order = np.lexsort((word, group))
+        rows, group, word = rows[order], group[order], word[order]
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (word[1:] != word[:-1])
+        group = np.cumsum(fresh) - 1
+        kept = np.bincount(group)[group] > 1
+        rows, group, depth = rows[kept], group[kept], depth + 8
     out = []
-    for g in groups:
-        texts = {int(i): strings[i].tobytes() for i in g}
-        out += [np.array(x) for x in blind_trie_order(texts, [int(i) for i in g], depth) if len(x) > 1]
+    for g in np.split(rows, np.flatnonzero(np.diff(group)) + 1) if len(rows) else ():
+        g = g.tolist()
+        texts = {i: strings[i].tobytes() for i in g}
+        out += [np.array(x) for x in blind_trie_order(texts, g, depth) if len(x) > 1]
     return out
 
 
@@ -195,15 +200,15 @@ def _windows(body: bytes, more: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[:more + 1]
 
 
-def resolve(contexts: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    """For each (doc, more, bytes) of one key, which of its strings a lesser doc in the list has."""
-    owner = np.repeat(np.arange(len(contexts)), [c[1] + 1 for c in contexts])
-    docs = np.array([c[0] for c in contexts])[owner]
-    strings = np.concatenate([_windows(c[2], c[1]) for c in contexts])
+def resolve(contexts: list[tuple[int, int, int, bytes]]) -> list[np.ndarray]:
+    """For each (key number, doc, more, bytes), which of its strings a lesser doc of its key has."""
+    sizes = np.array([c[2] + 1 for c in contexts])
+    docs = np.repeat(np.array([c[1] for c in contexts]), sizes)
+    strings = np.concatenate([_windows(c[3], c[2]) for c in contexts])
     gone = np.zeros(len(strings), bool)
-    for group in equal_strings(strings):
+    for group in equal_strings(strings, np.repeat(np.array([c[0] for c in contexts]), sizes)):
         gone[group] = docs[group] > docs[group].min()
-    return np.split(gone, np.flatnonzero(np.diff(owner)) + 1)
+    return np.split(gone, np.cumsum(sizes)[:-1])
 
 
 def contested(kept: DataFrame, documents: DataFrame) -> DataFrame:
@@ -233,23 +238,23 @@ def contested(kept: DataFrame, documents: DataFrame) -> DataFrame:
     few, many = bodies.where(F.col("n") <= MANY), bodies.where(F.col("n") > MANY)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
+        key, number, held, names, strings = None, 0, [], [], 0
 
         def settle():
-            if len(held) < 2:
-                return []
-            return [(key, c[3], "".join("01"[int(x)] for x in gone)) for c, gone in zip(held, resolve([h[:3] for h in held])) if gone.any()]
+            found = [(*name, "".join("01"[int(x)] for x in gone)) for name, gone in zip(names, resolve(held)) if gone.any()] if held else []
+            return pd.DataFrame(found, columns=["key", "context", "gone"])
 
-        names = ["key", "context", "gone"]
         for pdf in batches:
-            out = []
             for k, context, doc, more, body in pdf.itertuples(index=False, name=None):
                 if k != key:
-                    out += settle()
-                    key, held = k, []
-                held.append((doc, more, body, context))
-            yield pd.DataFrame(out, columns=names)
-        yield pd.DataFrame(settle(), columns=names)
+                    key, number = k, number + 1
+                    if strings > TOGETHER:
+                        yield settle()
+                        held, names, strings = [], [], 0
+                held.append((number, doc, more, body))
+                names.append((k, context))
+                strings += more + 1
+        yield settle()
 
     sorted_few = (few.select("key", "context", "doc", "more", "body").repartition("key").sortWithinPartitions("key")
                   .mapInPandas(sort, "key long, context long, gone string"))
