@@ -85,6 +85,7 @@ class Benchmark:
         hashes, owner, _ = shingle_hashes(words, first)
         counts = np.diff(first)
         self.shingles = [hashes[owner == k] for k in range(len(texts))]
+        self.known = np.unique(hashes)
         self.lut = np.zeros(LUT, bool)
         self.lut[hashes % np.uint64(LUT)] = True
         self.by_length = {}
@@ -97,7 +98,10 @@ class Benchmark:
     def find(self, hashes: np.ndarray, n_words: int) -> Iterator[tuple[int, int, float]]:
         """(item number, first word, similarity) of the best window for each item that a text holds;
         `hashes` are the text's shingles in order."""
+        found = hashes[self.lut[hashes % np.uint64(LUT)]]
         for length, (items, known, index) in self.by_length.items():
+            if not np.isin(found, known).any():
+                continue
             size = max(1, length - SHINGLE + 1)
             if (length < SHINGLE) != (n_words < SHINGLE) or len(hashes) < size:
                 continue                       # an item below five words equals a whole text or nothing
@@ -149,7 +153,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, keep: list[str] | N
                 for a, b in chunks(offsets):
                     words, first = word_hashes(data, offsets[a:b + 1], table)
                     hashes, owner, _ = shingle_hashes(words, first)
-                    near = np.unique(owner[bench.lut[hashes % np.uint64(LUT)]])
+                    maybe = np.flatnonzero(bench.lut[hashes % np.uint64(LUT)])
+                    near = np.unique(owner[maybe[np.isin(hashes[maybe], bench.known)]])
                     for k in near.tolist():
                         mine = slice(*np.searchsorted(owner, [k, k + 1]))
                         for item, start, alike in bench.find(hashes[mine], int(first[k + 1] - first[k])):
