@@ -21,7 +21,7 @@ from .texts import mix
 BUCKETS = 1 << 16
 SIZES = (1, 2, 3, 4)
 DIMS = 16
-PER_LANGUAGE = 600           # documented bound: labelled rows sampled for each language
+PER_LANGUAGE = 300           # documented bound: labelled rows sampled for each language
 MAX_LANGUAGES = 1000         # more distinct labels than that are no languages
 SNIPPET = 6                  # words of the short example each sampled document gives besides its whole
 CHUNK = 1 << 20              # characters of text worked on together
