@@ -15,7 +15,12 @@ only, its leader, the set that shares most; what that joins into a component nee
 Candidates of different components come next: in a small group each with each, in a large one by what
 they differ in from the leader. Of two sets that are not both similar to the leader the differences
 have some shingle in common, and a prefix filter on the differences finds it without a look at all
-pairs. Equal sets are one set throughout."""
+pairs. Sets that have little in common with their leader are joined by their own rarest shingles
+instead, each set once. Equal sets are one set throughout.
+
+Shingles are moved only for pairs that may be similar: every set has a parity sketch, one bit per
+bucket for an odd number of its shingles there. Sets differ in at least as many shingles as their
+sketches in bits, so a pair whose sketches are too far apart is settled, and nothing is lost."""
 from __future__ import annotations
 
 import math
@@ -35,6 +40,9 @@ HOT = 1                      # sets of a signature above which it may be left ou
 LARGE = 8                    # sets of a signature above which differences are joined
 COUNTS = 1 << 18             # cells of the table of shingle counts
 BLOOM = 1 << 24              # bits of the filter for sets to be compared
+SKETCH = 64                  # longs of a parity sketch
+NEAR, FAR = 1.0, 0.6         # sketch distance over size: the join by differences takes up to NEAR, the other from FAR
+HOT_SHARE = 1024             # a shingle cell with over 1 / HOT_SHARE of all shingles is hot
 EXACT, PROBE, DEEP, LEFT = 1, 2, 4, 8      # flags of a row; above them how much its set may leave out
 
 BANDS = [4]                  # sets below 4 shingles are equal or not similar
@@ -144,6 +152,15 @@ def _pick(hashes, sizes, rows):
     return hashes[np.repeat(starts[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)], n
 
 
+def parity_sketches(values: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(sets, SKETCH) uint64: the sketches of sets given one after the other."""
+    out = np.zeros(len(n) * SKETCH, "uint64")
+    bucket = mix(values ^ np.uint64(0x2545F4914F6CDD1D))
+    cell = np.repeat(np.arange(len(n)), n) * SKETCH + ((bucket >> np.uint64(6)) % np.uint64(SKETCH)).astype("int64")
+    np.bitwise_xor.at(out, cell, np.uint64(1) << (bucket & np.uint64(63)))
+    return out.reshape(-1, SKETCH)
+
+
 def _fields(*pairs) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in pairs])
 
@@ -199,8 +216,8 @@ def spend(groups: DataFrame) -> DataFrame:
 
 
 def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, elements): the shingles of the sets in `wanted` (set_id), stored. A filter of fixed size
-    keeps most others from being moved."""
+    """(set_id, size, sketch, elements): the shingles of the sets in `wanted` (set_id), stored. A filter of
+    fixed size keeps most others from being moved."""
     bit = F.pmod("set_id", F.lit(BLOOM)) + 1           # Spark's buckets hold bits 1 to 32768 and so on
     parts = (wanted.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
              .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
@@ -208,7 +225,8 @@ def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     for r in parts:
         bits[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), "uint8")
     shared = documents.sparkSession.sparkContext.broadcast(bits.ravel())
-    schema = _fields(("set_id", T.LongType()), ("elements", T.ArrayType(T.LongType())))
+    schema = _fields(("set_id", T.LongType()), ("size", T.IntegerType()), ("sketch", T.ArrayType(T.LongType())),
+                     ("elements", T.ArrayType(T.LongType())))
     # Spark's bucket of a bit x > 0 is 1 + (x - 1) / 32768
     first = wanted.sparkSession.range(1).select(F.bitmap_bucket_number(F.lit(1)), F.bitmap_bit_position(F.lit(1))).first()
     shift = int(first[1]) == 0
@@ -217,7 +235,10 @@ def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
         bits, x = shared.value, ids % BLOOM
         rows = _new(ids, sizes, seen, (bits[x >> 3] >> (x & 7).astype("uint8")) & 1)
         picked, n = _pick(hashes, sizes, rows)
-        return [pa.array(ids[rows]), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("int32"), picked.view("int64"))]
+        sketches = parity_sketches(picked, n).ravel().view("int64")
+        return [pa.array(ids[rows]), pa.array(n.astype("int32")),
+                pa.ListArray.from_arrays(np.arange(0, len(sketches) + 1, SKETCH, dtype="int32"), sketches),
+                pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("int32"), picked.view("int64"))]
 
     found = _each_batch(documents.select("text"), schema, make)
     return stored(found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "elements")
@@ -230,6 +251,20 @@ def _with_elements(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> Dat
     return pairs.join(left, a).join(right, b)
 
 
+def sketched(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> DataFrame:
+    """`pairs` with the sizes n and m of the sets in columns `a` and `b` and the distance of their sketches."""
+    left = elements.select(F.col("set_id").alias(a), F.col("size").alias("n"), F.col("sketch").alias("_x"))
+    right = elements.select(F.col("set_id").alias(b), F.col("size").alias("m"), F.col("sketch").alias("_y"))
+    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return pairs.join(left, a).join(right, b).withColumn("apart", apart).drop("_x", "_y")
+
+
+def may_be_similar(pairs: DataFrame) -> DataFrame:
+    """Those of `sketched` pairs that sizes and sketches leave open: similar sets differ in a ninth of
+    their sizes' sum at most."""
+    return pairs.where("100 * least(n, m) >= 80 * greatest(n, m) AND 9 * apart <= n + m").drop("n", "m", "apart")
+
+
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact counts."""
     n, m, i = F.size("x"), F.size("y"), F.col("i")
@@ -278,6 +313,37 @@ def differing_pairs(family: DataFrame, elements: DataFrame) -> DataFrame:
             .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
 
 
+def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the sets (set_id, component): all that are
+    similar, and few others. Two similar sets share one of their first size / 5 + 1 shingles, in any
+    order that is the same for all: here rare ones first, by exact counts. A shingle that one set alone
+    has is counted, not joined. Hot shingles come last and are not brought together for counting."""
+    spark = far.sparkSession
+    sets = stored(elements.select("set_id", "size", "elements").join(far, "set_id"), "far")
+    release(spark)
+    total = sets.agg(F.sum("size")).first()[0] or 0
+    rows = sets.select("set_id", "component", "size", F.explode("elements").alias("shingle"))
+    cell = F.pmod("shingle", F.lit(COUNTS))
+    hot = [r["cell"] for r in rows.groupBy(cell.alias("cell")).count()          # fewer than HOT_SHARE
+           .where(F.col("count") > max(HOT_SHARE, total // HOT_SHARE)).collect()]
+    same = Window.partitionBy("shingle")
+    cold = rows.where(~cell.isin(hot)).withColumn("n", F.count("*").over(same)).where("n > 1")
+    common = cold.unionByName(rows.where(cell.isin(hot)).withColumn("n", F.lit(1 << 62)))
+    own = Window.partitionBy("set_id")               # a set's shingles: bounded by its text
+    prefix = (common.withColumns({"at": F.row_number().over(own.orderBy("n", "shingle")), "shared": F.count("*").over(own)})
+              .where("at + size - shared <= size div 5 + 1").select("set_id", "component", "size", "shingle"))
+    prefix = stored(prefix, "rare")
+    release(spark)
+    mixed = (prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low <> high").select("shingle"))
+    open_rows = prefix.join(mixed, "shingle", "left_semi")
+    a, b = open_rows.alias("a"), open_rows.alias("b")
+    return (a.join(b, F.col("a.shingle") == F.col("b.shingle"))
+            .where("""a.set_id < b.set_id AND a.component <> b.component
+                      AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)""")
+            .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
+
+
 def similar_sets(documents: DataFrame) -> DataFrame:
     """(node, component) of the sets that are similar to some other set."""
     spark = documents.sparkSession
@@ -286,7 +352,11 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     stars = stored(groups.where("set_id <> leader").select(
         F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "pairs")
     elements = element_table(documents, groups.select("set_id").distinct())
-    first = stored(verified(stars, elements), "verified")
+    release(spark)
+    likely = stored(may_be_similar(sketched(stars, elements, "a", "b")), "likely")
+    release(spark)
+    first = stored(verified(likely, elements), "verified")
+    release(spark)
     part = components(first)
     labelled = groups.join(part.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id"))
@@ -301,9 +371,16 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     rest = (a.join(b, F.col("a.signature") == F.col("b.signature"))
             .where("a.set_id < b.set_id AND a.component <> b.component AND (a.exact OR b.exact) AND (a.looks OR b.looks)")
             .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
-    family = open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct()
-    rest = stored(rest.unionByName(differing_pairs(family, elements)).distinct(), "pairs")
-    second = verified(rest, elements)
+    # similar sets' distances to their leader differ by a ninth of their sizes' sum at most: if one is
+    # beyond NEAR times its size, the other is beyond FAR times its own
+    family = stored(sketched(open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct(),
+                             elements, "set_id", "leader"), "family")
+    near = family.where(F.col("apart") <= NEAR * F.col("n")).select("leader", "set_id", "component")
+    far = family.where(F.col("apart") >= FAR * F.col("n")).select("set_id", "component").distinct()
+    rest = rest.unionByName(rare_shingle_pairs(far, elements)).unionByName(differing_pairs(near, elements)).distinct()
+    likely = stored(may_be_similar(sketched(rest, elements, "a", "b")), "likely")
+    release(spark)
+    second = verified(likely, elements)
     links = first.unionByName(second).unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(links)
     release(spark)

@@ -95,10 +95,25 @@ def test_against_all_pairs(spark, seed):
     assert got == brute(docs)
 
 
-@pytest.mark.parametrize("large", [1, 10**9])
-def test_one_large_family_either_way(spark, monkeypatch, large):
+def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**63, 3000).astype("uint64")
+    sizes = rng.integers(0, 2500, 60)
+    sets = [rng.choice(pool, k, replace=False) for k in sizes]
+    bits = jj.parity_sketches(np.concatenate(sets), sizes)
+    for i in range(60):
+        for j in range(60):
+            apart = int(np.bitwise_count(bits[i] ^ bits[j]).sum())
+            differ = len(np.setxor1d(sets[i], sets[j]))
+            assert apart <= differ and (apart - differ) % 2 == 0
+
+
+# every large group by differences, by rare shingles (with hot ones and without), by both, by all pairs
+@pytest.mark.parametrize("large, near, far, hot", [(1, 1.0, 0.6, 1024), (1, 99, 99, 1024), (1, -1, 0, 1024), (1, -1, 0, 4), (10**9, 1.0, 0.6, 1024)])
+def test_one_large_family_either_way(spark, monkeypatch, large, near, far, hot):
     """Copies of one text with one to six edits each: some pairs are similar, most are not."""
-    monkeypatch.setattr(jj, "LARGE", large)
+    for name, value in (("LARGE", large), ("NEAR", near), ("FAR", far), ("HOT_SHARE", hot)):
+        monkeypatch.setattr(jj, name, value)
     rng = random.Random(9)
     base = [f"b{k}" for k in range(145)]
     docs = families(rng, 30)
