@@ -73,6 +73,20 @@ def test_index_finds_all_within_the_radius():
     assert set(zip(*dc.Index(items).within(windows))) == want and len(want) > 20
 
 
+def test_repeated_shingles_stay_within_the_radius(spark):
+    items, docs = [], []
+    for k in range(6):
+        head, tail = [f"a{k}x{i}" for i in range(90)], [f"b{k}x{i}" for i in range(92)]
+        items.append(" ".join(head + ["_"] * 22 + tail))
+        docs.append(" ".join(["before"] + head + ["_"] * 2 + [f"c{k}x{i}" for i in range(18)] + ["_"] * 2 + tail + ["after"]))
+    want = {(k, k): best for k in range(6) if (best := brute(docs[k], items[k]))}
+    assert len(want) == 6
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in dc.contaminated(d, b).collect()}
+    assert set(got) == set(want) and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
 def test_edge_cases(spark, messy, nothing):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog"), (1, "one"), (2, None)], "item_id long, text string")
     got = sorted((r.doc_id or -1, r.item_id) for r in dc.contaminated(messy, bench).collect())
