@@ -13,9 +13,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import stored
+from ..sizes import small_table
 
 SAMPLED = 30                 # keys sampled per part
 BEFORE, OWN, AFTER = 0, 1, 2
+PIN_BEFORE, PIN_AFTER = -2, -1
 
 
 def _plain(row: tuple) -> tuple:
@@ -34,12 +36,18 @@ def key_parts(keys: DataFrame, parts: int) -> list:
 
 
 def neighbour_pass(source: DataFrame, key: Column, columns: list[str], visit: Callable, result: T.StructType,
-                   parts: int, wrap: bool = False, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+                   parts: int, wrap: bool = False, prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+                   pins: DataFrame | None = None) -> DataFrame:
     """`visit(before, row, after)` for every row of `source`, rows as tuples of `columns`; `before` and
     `after` are None at the ends, or with `wrap` the row at the other end. It returns a tuple for
     `result`. `key` (a long or a string, never null) gives the order; rows of equal key are ordered by
     their content, so equal rows are interchangeable. `prepare` makes `columns` out of the source
-    and leaves the columns _key, _part and _side as they are."""
+    and leaves the columns _key, _part and _side as they are.
+
+    `pins` (prefix, low, high, earlier, later) names runs of rows, those whose key begins with
+    `prefix`, from the key `low` to `high`: all of them see the last row of the key `earlier` and the
+    first of `later` (null for none) instead of their own neighbours. Of two runs the shorter prefix
+    counts. Those rows go ahead of the run into every part it reaches."""
     spark = source.sparkSession
     keyed = source.withColumn("_key", key)
     cuts = key_parts(keyed.select(F.col("_key").alias("key")), parts)
@@ -63,35 +71,57 @@ def neighbour_pass(source: DataFrame, key: Column, columns: list[str], visit: Ca
     guests = stored(prepare(keyed.join(F.broadcast(called), "_key")).select("_key", "_part", "_side", *columns), "guests")
     own = prepare(keyed.withColumns({"_part": part, "_side": F.lit(OWN)})).select("_key", "_part", "_side", *columns)
     rows = own.unionByName(guests)
-    order = ["_part", "_side", "_key", F.xxhash64(*columns)]
+    if pins is not None:
+        reached = pins.withColumn("_part", F.explode(F.sequence(part_of("low"), part_of("high"))) if cuts else F.lit(0))
+        asked = reached.select("_part", "prefix", F.explode(F.array(
+            F.struct(F.col("earlier").alias("_key"), F.lit(PIN_BEFORE).alias("_side")),
+            F.struct(F.col("later").alias("_key"), F.lit(PIN_AFTER).alias("_side")))).alias("p"))
+        asked = stored(asked.select("_part", "prefix", "p._key", "p._side").where("_key IS NOT NULL"), "asked")
+        pinned = keyed.join(small_table(asked), "_key").withColumn("_key", F.col("prefix"))
+        rows = rows.unionByName(stored(prepare(pinned).select("_key", "_part", "_side", *columns), "pins"))
+    place = F.when(F.col("_side") < BEFORE, OWN).otherwise(F.col("_side"))
+    order = ["_part", place, "_key", "_side", F.xxhash64(*columns)]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = here = None
+        before = here = now = None
+        ahead: dict[str, list] = {}                # prefix: the rows its run sees
         done = []
 
         def out():
             return pd.DataFrame({n: pd.Series([r[k] for r in done], dtype=object) for k, n in enumerate(result.names)})
 
+        def see(after):
+            if here is not None and here[0] == OWN:
+                done.append(visit(before, here[1], after) if here[2] is None else visit(here[2][0], here[1], here[2][1]))
+
         for pdf in batches:
-            for part, side, *row in pdf.itertuples(index=False, name=None):
-                row = (part, side, _plain(tuple(row)))
-                if here is not None and here[0] != part:
-                    if here[1] == OWN:
-                        done.append(visit(before, here[2], None))
-                    before = here = None
-                if here is not None and here[1] == OWN:
-                    done.append(visit(before, here[2], row[2]))
-                if here is not None and here[1] == AFTER:
+            for part, side, key, *row in pdf.itertuples(index=False, name=None):
+                row = _plain(tuple(row))
+                if part != now:
+                    see(None)
+                    before, here, now, ahead = None, None, part, {}
+                if side < BEFORE:
+                    pin = ahead.setdefault(key, [None, None])
+                    if side == PIN_BEFORE:
+                        pin[0] = row
+                    elif pin[1] is None:
+                        pin[1] = row
+                    continue
+                see(row)
+                if here is not None and here[0] == AFTER:
                     continue                       # only the first guest behind counts
-                before = here[2] if here is not None else None
-                here = row
+                before = here[1] if here is not None else None
+                pin = None
+                if ahead:
+                    ahead = {p: pin for p, pin in ahead.items() if key.startswith(p)}
+                    pin = ahead[min(ahead, key=len)] if ahead else None
+                here = side, row, pin
             yield out()
             done.clear()
-        if here is not None and here[1] == OWN:
-            done.append(visit(before, here[2], None))
-            yield out()
+        see(None)
+        yield out()
 
     # guests of equal key come in content order too: the last of those before, the first of those after
     walked = (rows.repartitionById(max(1, len(cuts) + 1), "_part").sortWithinPartitions(*order)
-              .select("_part", "_side", *columns))
+              .select("_part", "_side", "_key", *columns))
     return walked.mapInPandas(walk, result)
