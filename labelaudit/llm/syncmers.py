@@ -2,8 +2,8 @@
 
 A run of `K` characters is an anchor if the least hash of its inner runs of `S` characters lies at
 its first or last place. Whether it is one depends on its own characters alone, so equal passages
-have equal anchors wherever they stand. A fingerprint keeps the `KEPT` distinct anchors of least
-hash with their first places; two fingerprints are matched by equal anchors in equal order."""
+have equal anchors wherever they stand. A fingerprint keeps all distinct anchors with their first
+places; two fingerprints are matched by equal anchors in equal order."""
 from __future__ import annotations
 
 import base64
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .neighbours import neighbour_pass
 from .texts import mix
 
-K, S, KEPT = 20, 6, 128
+K, S = 20, 6
 
 
 def _runs(codes: np.ndarray, at: np.ndarray | None, size: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def closed_syncmers(codes: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes ascending, places) of the kept anchors. A text shorter than K is one anchor, an empty
+    """(hashes ascending, places) of the distinct anchors. A text shorter than K is one anchor, an empty
     one none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype("uint64")
     if not len(codes):
@@ -57,34 +57,53 @@ def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         at = np.zeros(1, "int64")
     found, first = np.unique((_runs(codes, at, size) >> np.uint64(32)).astype("uint32"), return_index=True)
-    return found[:KEPT], at[first[:KEPT]].astype("uint32")
+    return found, at[first].astype("uint32")
 
 
 def pack_anchors(found: tuple[np.ndarray, np.ndarray]) -> str:
-    return base64.b64encode(np.concatenate(found).astype("<u4").tobytes()).decode()
+    """Base64 of: the number of anchors, their hashes by place, the steps from place to place. Numbers
+    and hashes have four bytes, steps as many groups of seven bits as they need, lowest first."""
+    if not len(found[0]):
+        return ""
+    order = np.argsort(found[1], kind="stable")
+    steps = np.diff(found[1][order].astype("int64"), prepend=0)
+    groups = steps[:, None] >> np.arange(0, 35, 7)
+    more = np.zeros(groups.shape, bool)
+    more[:, :-1] = groups[:, 1:] > 0
+    used = np.ones(groups.shape, bool)
+    used[:, 1:] = groups[:, 1:] > 0
+    coded = (groups & 127 | more * 128)[used].astype("uint8")
+    head = np.concatenate([[len(order)], found[0][order]]).astype("<u4")
+    return base64.b64encode(head.tobytes() + coded.tobytes()).decode()
 
 
 def unpack_anchors(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(base64.b64decode(fingerprint), "<u4")
-    return both[:len(both) // 2], both[len(both) // 2:]
+    if not fingerprint:
+        return np.zeros(0, "uint32"), np.zeros(0, "uint32")
+    data = base64.b64decode(fingerprint)
+    n = int.from_bytes(data[:4], "little")
+    hashes, coded = np.frombuffer(data[4:4 + 4 * n], "<u4"), np.frombuffer(data[4 + 4 * n:], "uint8").astype("int64")
+    starts = np.concatenate([[0], np.flatnonzero(coded < 128)[:-1] + 1])
+    nth = np.arange(len(coded)) - np.repeat(starts, np.diff(starts, append=len(coded)))
+    places = np.cumsum(np.add.reduceat((coded & 127) << 7 * nth, starts)).astype("uint32")
+    order = np.argsort(hashes, kind="stable")
+    return hashes[order], places[order]
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Share of the texts' anchors that match in order, 0 to 1, estimated from the least anchors of
-    both (Dice's measure, so half a text in common is about 0.5). Two empty texts are alike."""
+    """Share of the texts' anchors that match in order, 0 to 1 (Dice's measure, so half a text in
+    common is about 0.5). Two empty texts are alike."""
     if len(a[0]) == len(b[0]) and (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
     if not len(a[0]) or not len(b[0]):
         return 0.0
-    union = np.union1d(a[0], b[0])[:KEPT]
     shared, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    inside = shared <= union[-1]
-    places = a[1][in_a[inside]], b[1][in_b[inside]]
+    places = a[1][in_a], b[1][in_b]
     tails: list[int] = []             # longest run of anchors in the same order
     for x in places[1][np.argsort(places[0], kind="stable")].tolist():
         k = bisect_left(tails, x)
         tails[k:k + 1] = [x]
-    return 2 * len(tails) / (len(union) + len(tails))
+    return 2 * len(tails) / (len(a[0]) + len(b[0]) - len(shared) + len(tails))
 
 
 def fingerprint(text: str | None) -> str:

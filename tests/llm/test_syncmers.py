@@ -73,3 +73,21 @@ def test_likeness_counts_order_and_survives_a_round_trip():
     assert sm.likeness(x, x) == 1.0 and 0 < sm.likeness(x, y) < 1
     again = sm.unpack_anchors(sm.pack_anchors(x))
     assert (again[0] == x[0]).all() and (again[1] == x[1]).all()
+
+
+def test_long_texts_keep_all_anchors():
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+    a, b, passage = text(20_000), text(20_000), text(60)
+    codes = np.array([ord(c) for c in a], "uint64")
+    assert len(sm.anchors(a)[0]) > 0.99 * len(sm.closed_syncmers(codes))
+    x, y = sm.anchors(a[:50_000] + passage + a[50_000:]), sm.anchors(b + passage)
+    assert sm.likeness(x, y) > 0
+    for k in range(20):
+        at = 4_000 * k + 17
+        changed = a[:at] + "zzzzz" + a[at + 5:]
+        assert sm.fingerprint(changed) != sm.fingerprint(a) and 0.99 < sm.likeness(sm.anchors(changed), sm.anchors(a)) < 1
+    again = sm.unpack_anchors(sm.pack_anchors(x))
+    assert (again[0] == x[0]).all() and (again[1] == x[1]).all()
+    wide = np.array([3, 5, 9], "uint32"), np.array([300_000_000, 0, 128], "uint32")
+    assert all((p == q).all() for p, q in zip(sm.unpack_anchors(sm.pack_anchors(wide)), wide))
