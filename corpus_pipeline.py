@@ -30,7 +30,7 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by similar shingle sets the one of least doc_id (nulls last, of equal ids
     the first row); documents without words are in no group."""
-    numbered = docs.withColumn("_lot", F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn("_lot", F.monotonically_increasing_id()), "numbered")    # a later scan may number otherwise
     groups = jaccard_join.near_duplicates(numbered.select(F.col("_lot").alias("doc_id"), "text")).where("n_shingles > 0")
     members = groups.select(F.col("doc_id").alias("_lot"), F.col("component_id").alias("group"))
     named = members.join(numbered.select("_lot", "doc_id"), "_lot")
@@ -41,7 +41,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    numbered = docs.withColumn("_lot", F.monotonically_increasing_id())
+    numbered = stored(docs.withColumn("_lot", F.monotonically_increasing_id()), "numbered")    # a later scan may number otherwise
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = stored(decontaminate.contaminated(numbered, bench, ["_lot"]).select("_lot").distinct(), "leaks")
     return numbered.join(found, "_lot", "left_anti").select(COLUMNS)

@@ -104,7 +104,8 @@ def drop_repeated_lines(documents: DataFrame, least: int = WORDS) -> DataFrame:
     """`documents` with the later copies of repeated runs cut out of their text, and n_lines and
     n_removed; columns of these names are replaced. Lines left are joined as they were. Null, empty
     and blank texts have no lines and stay as they are; a text all of whose lines go becomes empty."""
-    numbered = documents.withColumn("_lot", F.monotonically_increasing_id())
+    # stored with the texts, as a later scan may number otherwise
+    numbered = stored(documents.withColumn("_lot", F.monotonically_increasing_id()), "numbered")
     gone = (repeated_lines(numbered.select(F.col("_lot").alias("lot"), "doc_id", "text"), least)
             .withColumnsRenamed({"lot": "_lot", "gone": "_gone"}))
     lines = split_lines(F.col("text"))

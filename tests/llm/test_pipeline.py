@@ -39,6 +39,26 @@ def test_each_stage_on_what_the_one_before_kept(spark, sf):
     assert used <= 1.01 * least + 1
 
 
+def test_row_numbers_outlast_another_split_of_the_files(spark, tmp_path):
+    from labelaudit.llm import line_runs
+    line = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, f"{line}\nown {k}", "en", "s", 10) for k in range(4)]
+    path = str(tmp_path / "documents")
+    spark.createDataFrame(rows, cp.COLUMNS).coalesce(1).write.parquet(path)
+    size, cost = "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(size), spark.conf.get(cost)
+    docs = spark.read.parquet(path)
+    try:
+        single, cut = cp.one_of_each_group(spark, docs, None), line_runs.drop_repeated_lines(docs)
+        spark.conf.set(size, "20")            # the file's rows are now in another of its splits
+        spark.conf.set(cost, "1")
+        assert ids(single) == [0]
+        assert sorted((r.doc_id, r.n_removed) for r in cut.collect()) == [(0, 0), (1, 1), (2, 1), (3, 1)]
+    finally:
+        spark.conf.set(size, before[0])
+        spark.conf.set(cost, before[1])
+
+
 def test_edge_cases(spark, messy, nothing, sf):
     for name, stage in cp.STAGES:
         assert stage(spark, nothing, sf).count() == 0, name
