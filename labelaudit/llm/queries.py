@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, sharding, substrings, syncmers
+from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, prefix_trie, sharding, substrings, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -74,3 +74,9 @@ def html_extraction(spark, sf_dir):
 @register("op10_chat_formatting", perspectives.SQL)
 def chat_formatting(spark, sf_dir):
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+@register("op11_conversation_prefix_trie", prefix_trie.SQL)
+def conversation_prefix_trie(spark, sf_dir):
+    trie = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+    return trie.drop("enter_at", "leave_at")
