@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import decontaminate, jaccard_join, language, line_runs, packing, pages, perspectives, prefix_trie, sharding, substrings, syncmers
+from . import decontaminate, jaccard_join, language, line_runs, near_vectors, packing, pages, perspectives, prefix_trie, sharding, substrings, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -80,3 +80,8 @@ def chat_formatting(spark, sf_dir):
 def conversation_prefix_trie(spark, sf_dir):
     trie = prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
     return trie.drop("enter_at", "leave_at")
+
+
+@register("op12_embedding_near_dedup", near_vectors.SQL)
+def embedding_near_dedup(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
