@@ -4,7 +4,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import configure
-from . import decontaminate, jaccard_join, language, line_runs, near_vectors, packing, pages, perspectives, prefix_trie, sharding, substrings, syncmers
+from . import decontaminate, jaccard_join, language, line_runs, near_vectors, packing, pages, perspectives, phrases, prefix_trie, sharding, substrings, syncmers
 
 QUERIES, SQL = {}, {}
 
@@ -85,3 +85,8 @@ def conversation_prefix_trie(spark, sf_dir):
 @register("op12_embedding_near_dedup", near_vectors.SQL)
 def embedding_near_dedup(spark, sf_dir):
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_phrase_collocations", phrases.SQL)
+def phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
