@@ -1,9 +1,11 @@
 """Collocations: phrases of words that come together more often than apart, mined by Toivonen's method.
 
-A sample proposes phrases at a lowered count. The full pass counts exactly what the sample proposed and
+A sample proposes phrases. The full pass counts exactly what the sample proposed and
 its negative border: every phrase that was not proposed but whose parts (less the last, less the first
 word) were. If a phrase of the border turns out frequent, a further pass counts the phrases that have it
 as a part, and so on until no frequent phrase is new: then every frequent phrase has been counted.
+A low count in the sample would spare passes, but the pairs and triples of what it proposes are mostly
+rare, and each costs a row; so only phrases that are surely frequent are proposed.
 
 What was proposed is kept as a bit for a hash of the phrase, `BITS` for each length, whatever the corpus.
 Two phrases that share a bit only make a pass count more than it has to; counts are by the phrase itself."""
@@ -23,8 +25,8 @@ from .texts import LOWER, chunks, mix, raw
 
 BITS = 1 << 26               # of a filter: 8 MB
 SAMPLE = 4                   # one document in so many is the sample
-LOWERED = 2                  # count in the sample from which a phrase is proposed
-CHUNK = 1 << 24              # bytes of text counted together (one text at least)
+PROPOSED = 5                 # count in the sample from which a phrase is proposed
+CHUNK = 1 << 21              # bytes of text counted together (one text at least)
 STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 SALTS = 64
 COUNTED = "lang string, size int, phrase string, n long"
@@ -75,13 +77,13 @@ class Words:
         begins[1:] &= apart[:-1] | edge[1:n]
         ends[:-1] &= apart[1:] | edge[1:n]
         starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        breaks = np.concatenate([[0], np.cumsum(IS_BREAK[part])])
+        breaks = np.append(np.int32(0), np.cumsum(IS_BREAK[part], dtype="int32"))
         owner = np.searchsorted(bounds, starts, "right") - 1
         self.piece = breaks[starts] + owner
         # words with one blank after each
         keep = ~apart
         keep[1:] |= apart[1:] & ~apart[:-1]
-        place = np.concatenate([[0], np.cumsum(keep)])
+        place = np.append(np.int32(0), np.cumsum(keep, dtype="int32"))
         self.text = np.where(apart, np.uint8(0x20), LOWER[part])[keep]
         self.first, self.last = place[starts], place[stops]
         words = self.strings(np.arange(len(starts)), 1).dictionary_encode()
@@ -98,8 +100,9 @@ class Words:
     def strings(self, at: np.ndarray, size: int) -> pa.Array:
         """The phrases of `size` words from the words `at`."""
         begin, length = self.first[at], self.last[at + size - 1] - self.first[at]
-        offsets = np.concatenate([[0], np.cumsum(length)])
-        inner = np.arange(offsets[-1]) - np.repeat(offsets[:-1], length) + np.repeat(begin, length)
+        offsets = np.append(0, np.cumsum(length))
+        inner = np.repeat(begin - offsets[:-1].astype("int32"), length)
+        inner += np.arange(len(inner), dtype="int32")
         return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype("int64")), pa.py_buffer(self.text[inner]))
 
 
@@ -200,12 +203,12 @@ def proposed(phrases: DataFrame, most: int) -> Filter:
     return Filter(bits)
 
 
-def frequent_phrases(documents: DataFrame, most: int, least: int, sample: int = SAMPLE, lowered: int = LOWERED) -> tuple[DataFrame, int]:
+def frequent_phrases(documents: DataFrame, most: int, least: int, sample: int = SAMPLE, proposing: int = PROPOSED) -> tuple[DataFrame, int]:
     """((lang, size, phrase, n) of all phrases of 1 to `most` words with n >= `least`, and as size 0 the
-    number of words; number of full passes). `sample` and `lowered` change the passes, not the result."""
+    number of words; number of full passes). `sample` and `proposing` change the passes, not the result."""
     rows = documents.select("lang", "text")
     part = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(sample)) == 0)
-    old, new, found, passes = None, proposed(count_phrases(part, most).where(F.col("n") >= lowered), most), None, 0
+    old, new, found, passes = None, proposed(count_phrases(part, most - 1).where(F.col("n") >= proposing), most), None, 0
     while True:
         counts = count_phrases(rows, most, old, new).where((F.col("n") >= least) | (F.col("size") == 0))
         fresh = stored(counts, "phrases")
@@ -218,7 +221,7 @@ def frequent_phrases(documents: DataFrame, most: int, least: int, sample: int =
 
 
 def collocations(documents: DataFrame, most: int = 3, least: int = 10, cover: int = 50, top: int = 2000,
-                 sample: int = SAMPLE, lowered: int = LOWERED) -> DataFrame:
+                 sample: int = SAMPLE, proposing: int = PROPOSED) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first `top` phrases of each language.
 
     documents: (lang, text); other columns are not read. Null languages are 'und', null texts empty.
@@ -227,7 +230,7 @@ def collocations(documents: DataFrame, most: int = 3, least: int = 10, cover: in
     counts, of equal ones the earliest. Phrases inside a longer one that has `cover` % of their
     occurrences are left out. Order: score, a, both falling, then phrase by bytes. Repeated rows are
     documents of their own; a language without such phrases has no row. a, l, r up to 10**15."""
-    found, _ = frequent_phrases(documents, most, least, sample, lowered)
+    found, _ = frequent_phrases(documents, most, least, sample, proposing)
     totals = small_table(found.where("size = 0").select("lang", F.col("n")))
     counts = found.where("size > 0").select("lang", "phrase", "size", F.col("n").alias("a"))
     phrases = counts.where("size > 1").withColumn("words", F.split("phrase", " "))

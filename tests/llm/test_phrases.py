@@ -71,9 +71,9 @@ def test_border_failures_lead_to_further_passes(spark):
     proposes all, one is enough. The result is the same."""
     docs = make(random.Random(4), 300)
     df = spark.createDataFrame(docs, "lang string, text string").repartition(4).cache()
-    few, passes = ph.frequent_phrases(df, 4, 4, lowered=10**9)
+    few, passes = ph.frequent_phrases(df, 4, 4, proposing=10**9)
     assert passes == 4                       # words, pairs, triples, quadruples
-    all_, one = ph.frequent_phrases(df, 4, 4, sample=1, lowered=1)
+    all_, one = ph.frequent_phrases(df, 4, 4, sample=1, proposing=1)
     assert one == 1
     some, middle = ph.frequent_phrases(df, 4, 4)
     assert 1 < middle <= 4
