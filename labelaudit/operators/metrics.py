@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sizes import small_table
-from .ranking import WINDOW_ROWS, running_sums, top_k
+from .ranking import running_sums, top_k
 
 NAN = float("nan")
 
@@ -22,15 +22,15 @@ def _tally(df: DataFrame, keys, score: str, positive: str) -> DataFrame:
     """Positives and negatives per distinct score: a hot score is one row."""
     hit = F.col(positive).cast("int")
     return df.groupBy(*keys, F.col(score).cast("double").alias("s")).agg(
-        F.sum(hit).alias("pos"), F.sum(1 - hit).alias("neg"))
+        F.sum(hit).cast("long").alias("pos"), F.sum(1 - hit).cast("long").alias("neg"))
 
 
-def area_metrics(df: DataFrame, score: str, positive: str, by: Sequence[str] = (),
-                 window_rows: int = WINDOW_ROWS) -> DataFrame:
+def area_metrics(df: DataFrame, score: str, positive: str, by: Sequence[str] = ()) -> DataFrame:
     """roc_auc (ties count half), auprc (average precision over distinct scores)
-    and the class totals, one row per group. NaN where one class is missing."""
+    and the class totals, one row per group. NaN where one class is missing. A NaN
+    score ranks above all numbers, a null one below."""
     df, keys = _grouped(df, by)
-    run = running_sums(_tally(df, keys, score, positive), keys, "s", ["pos", "neg"], window_rows)
+    run = running_sums(_tally(df, keys, score, positive), keys, "s", ["pos", "neg"])
     totals = run.groupBy(*keys).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     run = run.join(small_table(totals), keys)
     wins = F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2)
@@ -74,10 +74,10 @@ def at_k_metrics(df: DataFrame, score: str, positive: str, ks: Sequence[int] = (
 
 def noise_detection_metrics(df: DataFrame, score: str = "score", mask: str = "mask",
                             ks: Sequence[int] = (50, 100, 200), by: Sequence[str] = (),
-                            id_col: str = "id", window_rows: int = WINDOW_ROWS) -> DataFrame:
+                            id_col: str = "id") -> DataFrame:
     """How well a score ranks the known flips: areas, base rate, top-k."""
     work, keys = _grouped(df, by)
-    area = area_metrics(work, score, mask, keys, window_rows)
+    area = area_metrics(work, score, mask, keys)
     base = F.col("positives") / (F.col("positives") + F.col("negatives"))
     tops = at_k_metrics(work, score, mask, ks, keys, id_col)
     out = (area.withColumn("base_rate", base).drop("positives", "negatives").join(tops, keys))

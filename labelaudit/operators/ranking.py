@@ -1,19 +1,21 @@
-"""Exact global ranks, cuts and running sums without a one-task window.
+"""Exact global ranks, cuts, running sums and medians without a one-task window.
 
-A window over a whole class would put that class in one task. Here the order key
-is bucketed first: a small table of counts per (group, bucket) gives the offset
-of every bucket, and only the rows of one bucket are ever sorted together."""
+A window over a whole class would put that class in one task. Ranks and sums come
+from ranges of rows (`running`). For cuts the draw is bucketed: a small table of
+counts per (group, bucket) finds the bucket of the cut, and only its rows are sorted.
+A median is found bit by bit from counts."""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stored
+from .running import running
 
 BUCKETS = 1 << 14
-WINDOW_ROWS = 1_000_000
 
 
 def draw_bucket(u: Column) -> Column:
@@ -59,78 +61,77 @@ def inside_cut(id_col: str = "id") -> Column:
 def rank_within(df: DataFrame, keys: Sequence[str], out: str = "pos",
                 id_col: str = "id") -> DataFrame:
     """Zero-based exact rank by (u, id) within the keys."""
-    starts = _bucket_counts(df, keys).select(*keys, "bucket", "before")
-    order = Window.partitionBy(*keys, "bucket").orderBy("u", id_col)
-    return (df.withColumn("bucket", draw_bucket(F.col("u")))
-            .withColumn(out, F.row_number().over(order) - 1)
-            .join(starts, [*keys, "bucket"])
-            .withColumn(out, F.col(out) + F.col("before"))
-            .drop("bucket", "before"))
-
-
-def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str],
-                 window_rows: int = WINDOW_ROWS) -> DataFrame:
-    """Adds `<c>_upto` for each column: its sum over rows of the group with an
-    order value at or below the row's. `df` holds one row per (keys, order)."""
-    df = stored(df, "tally")
-    if df.count() <= window_rows:
-        upto = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in sums})
-    parts = 1024
-    edges = sorted(set(df.stat.approxQuantile(order, [i / parts for i in range(1, parts)],
-                                              1 / (4 * parts))))
-    splits = [-float("inf"), *edges, float("inf")]
-    df = (Bucketizer(splits=splits, inputCol=order, outputCol="bucket").transform(df)
-          .withColumn("bucket", F.col("bucket").cast("int")))
-    # 1025 buckets at most, per group
-    base = df.groupBy(*keys, "bucket").agg(*[F.sum(c).alias(f"{c}_in") for c in sums])
-    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    base = base.select(*keys, "bucket", *[
-        F.coalesce(F.sum(f"{c}_in").over(before), F.lit(0)).alias(f"{c}_base") for c in sums])
-    inside = Window.partitionBy(*keys, "bucket").orderBy(order)
-    return (df.withColumns({f"{c}_upto": F.sum(c).over(inside) for c in sums})
-            .join(base, [*keys, "bucket"])
-            .withColumns({f"{c}_upto": F.col(f"{c}_upto") + F.col(f"{c}_base") for c in sums})
-            .drop("bucket", *[f"{c}_base" for c in sums]))
-
-
-def exact_median(df: DataFrame, column: str, window_rows: int = 50_000) -> float:
-    """The median as numpy gives it (mean of the two middle values).
-
-    The range is narrowed by histograms of counts until the middle values lie in
-    a slice that is small enough to sort."""
-    x = F.col(column)
-    data = df.select(x).where(x.isNotNull() & ~F.isnan(x))
-    n, lo, hi = data.agg(F.count("*"), F.min(x), F.max(x)).first()
-    if n == 0:
-        return float("nan")
-    ranks = [(n - 1) // 2, n // 2]
-    found = [_order_statistic(data, x, r, n, lo, hi, window_rows) for r in sorted(set(ranks))]
-    return (found[0] + found[-1]) / 2
-
-
-def _order_statistic(data, x, rank, n, lo, hi, window_rows):
-    """Value at a zero-based rank; `lo` and `hi` bracket it and `rank` counts
-    from the first value at or above `lo`."""
-    while lo < hi and n > window_rows:
-        width = (hi - lo) / 4096
-        place = F.least(F.floor((x - lo) / width), F.lit(4095)).cast("int")
-        hist = sorted(data.where(x.between(lo, hi)).groupBy(place.alias("b"))
-                      .agg(F.count("*").alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-                      .collect())
-        for _, count, low, high in hist:
-            if rank < count:
-                n, lo, hi = count, low, high
-                break
-            rank -= count
-    if lo == hi:
-        return lo
-    ordered = data.where(x.between(lo, hi)).groupBy(x.alias("v")).count().orderBy("v").collect()
-    for value, count in ordered:
-        if rank < count:
-            return value
-        rank -= count
+    return running(df, keys, ["u", id_col]).withColumnRenamed("_at", out)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str]) -> DataFrame:
+    """Adds `<c>_upto` for each long column: its sum over rows of the group with an
+    order value at or below the row's. `df` holds one row per (keys, order); a NaN
+    is above all numbers, a null below."""
+    return running(df, keys, [order], sums).drop("_at")
+
+
+def _digits(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers of the same order."""
+    bits = (x + 0.0).view("uint64")
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _value(digits: int) -> float:
+    bits = digits ^ (1 << 63) if digits >> 63 else digits ^ ((1 << 64) - 1)
+    return float(np.array([bits], "uint64").view("float64")[0])
+
+
+def exact_median(df: DataFrame, column: str) -> float:
+    """The median as numpy gives it (mean of the two middle values), NaN and null
+    aside; NaN without rows.
+
+    Four passes, each of which counts the next 16 bits of the values that begin
+    like a middle value: at most 2 * 65536 counts a pass, whatever the values."""
+    x = F.col(column).cast("double")
+    data = df.select(x.alias("x")).where(x.isNotNull() & ~F.isnan(x))
+    found: list[int] = []
+    ranks: list[int] = []
+    for step in range(4):
+        shift, known = 48 - 16 * step, sorted(set(found))
+
+        def count(batches, shift=shift, known=known):
+            for batch in batches:
+                bits = _digits(batch.column(0).to_numpy(zero_copy_only=False))
+                if known:
+                    bits = bits[np.isin(bits >> np.uint64(shift + 16), np.array(known, "uint64"))]
+                prefix, n = np.unique(bits >> np.uint64(shift), return_counts=True)
+                yield pa.record_batch({"prefix": prefix.view("int64"), "n": n})
+
+        rows = data.mapInArrow(count, "prefix long, n long").groupBy("prefix").agg(F.sum("n")).collect()
+        counts = sorted((p % (1 << 64), n) for p, n in rows)
+        if step == 0:
+            total = sum(n for _, n in counts)
+            if total == 0:
+                return float("nan")
+            found, ranks = [0, 0], [(total - 1) // 2, total // 2]
+        for i, rank in enumerate(ranks):
+            for prefix, n in counts:
+                if step and prefix >> 16 != found[i]:
+                    continue
+                if rank < n:
+                    found[i], ranks[i] = prefix, rank
+                    break
+                rank -= n
+    return (_value(found[0]) + _value(found[1])) / 2
+
+
+def medians(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, median) by the same rule for any number of groups: equal values
+    become one row, whose running count says whether it holds a middle place."""
+    x = F.col(column).cast("double")
+    data = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, (x + 0.0).alias("x")).agg(F.count("*").alias("n"))
+    run = stored(running_sums(data, keys, "x", ["n"]), "counts")
+    total = run.groupBy(*keys).agg(F.max("n_upto").alias("total"))
+    places = F.explode(F.array(F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2))).alias("place")
+    middle = run.join(total, list(keys)).select(*keys, "x", "n", "n_upto", places)
+    return (middle.where((F.col("n_upto") - F.col("n") <= F.col("place")) & (F.col("place") < F.col("n_upto")))
+            .groupBy(*keys).agg((F.sum("x") / 2).alias("median")))
 
 
 def top_k(df: DataFrame, keys: Sequence[str], score: str, k: int, id_col: str = "id") -> DataFrame:

@@ -130,17 +130,44 @@ def test_largest_remainder():
     assert sp.largest_remainder({0: 50, 1: 30, 2: 20}, 7) == {0: 4, 1: 2, 2: 1}
 
 
-def test_bucketed_paths_agree_with_plain_windows(spark):
+@pytest.mark.parametrize("n", [10, 20_000])
+def test_areas_at_any_size(spark, n):
+    """One plan for few and many scores; a score that a third of the rows share, a NaN
+    (above all numbers), infinite ones."""
     rng = np.random.default_rng(1)
-    s = np.round(rng.standard_normal(4000), 2)
-    s[rng.permutation(4000)[:1400]] = 0.5      # one score holds a third of the rows
-    df = spark.createDataFrame(pd.DataFrame({
-        "id": np.arange(4000), "g": np.arange(4000) % 3, "s": s, "mask": rng.random(4000) < 0.2}))
-    rows = lambda d: [tuple(round(x, 12) for x in r) for r in d.orderBy("g").collect()]
-    assert rows(mt.area_metrics(df, "s", "mask", ["g"], window_rows=10)) == rows(
-        mt.area_metrics(df, "s", "mask", ["g"]))
-    assert rk.exact_median(df, "s", window_rows=5) == np.median(s)
-    assert rk.exact_median(df.where("id < 3999"), "s", window_rows=5) == np.median(s[:3999])
+    s = np.round(rng.standard_normal(n), 5)
+    s[rng.permutation(n)[:n // 3]] = 0.5
+    s[1], s[2], s[4] = np.nan, np.inf, -np.inf
+    m = rng.random(n) < 0.4
+    m[[0, 1, 2]], m[[3, 4, 5]] = True, False
+    rows = [(i, i % 3, float(x), bool(hit)) for i, (x, hit) in enumerate(zip(s, m))]     # pandas would make NaN a null
+    df = spark.createDataFrame(rows, "id long, g long, s double, mask boolean").repartition(5)
+    order = np.argsort(np.argsort(np.unique(s)))          # NaN comes last
+    rank = order[np.searchsorted(np.unique(s), s)]
+    for r in mt.area_metrics(df, "s", "mask", ["g"]).collect():
+        own = np.arange(n) % 3 == r["g"]
+        neg = np.sort(rank[own & ~m])
+        wins = (np.searchsorted(neg, rank[own & m], "left") + np.searchsorted(neg, rank[own & m], "right")) / 2
+        assert r["roc_auc"] == pytest.approx(wins.sum() / (len(neg) * (own & m).sum()))
+
+
+MEDIANS = [[1.0], [2.0, 1.0], [1.5e308, -1.5e308] * 49 + [48.0, 49.0], [np.inf, -np.inf, 3.0], [np.inf] * 3 + [1.0],
+           [-1.0, -2.0, -3.0, -4.0], [5e-324, 0.0, -5e-324, -0.0], [0.5] * 300 + list(range(100)), [np.nan, 1.0, 4.0]]
+
+
+@pytest.mark.parametrize("case", range(len(MEDIANS)))
+def test_median_is_numpys(spark, case):
+    values = MEDIANS[case]
+    df = spark.createDataFrame([(float(v),) for v in values], "s double").repartition(3)
+    assert rk.exact_median(df, "s") == np.nanmedian(values)
+
+
+def test_medians_of_groups(spark):
+    rows = [(g, float(v)) for g, values in enumerate(MEDIANS) for v in values] + [(99, None), (0, None)]
+    df = spark.createDataFrame(rows, "g long, s double").repartition(3)
+    got = {r["g"]: r["median"] for r in rk.medians(df, "s", ["g"]).collect()}
+    assert got == {g: np.nanmedian(v) for g, v in enumerate(MEDIANS)}
+    assert np.isnan(rk.exact_median(df.where("g = 99"), "s"))
 
 
 def brute_auc(s, m):
