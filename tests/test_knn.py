@@ -82,3 +82,51 @@ def test_labels_of_hot_neighbours(spark):
     grid = knn.with_labels(graph, labels, by=["rate"])
     assert grid.count() == 2 * graph.count()
     assert grid.where("y <> (id + rate) % 2 OR nbr_y <> (nbr_id + rate) % 2").count() == 0
+
+
+def test_string_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((90, 4))
+    x[50:] = x[3]
+    ids = [f"r{i:03d}" for i in rng.permutation(90)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id string, v array<double>")
+    got = found(knn.knn_graph(df, 3, cell_rows=20, block_rows=8, tile=3))
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    dist = np.round(np.clip(1 - (x / size) @ (x / size).T, 0, 2), 9)
+    assert got == {a: [b for _, b in sorted((dist[i, j], ids[j]) for j in range(90) if j != i)[:3]] for i, a in enumerate(ids)}
+
+
+@pytest.mark.parametrize("block", [4096, 12])
+def test_groups_in_one_job(spark, block):
+    """Rows meet rows of their own group only; ids may recur in other groups."""
+    rng = np.random.default_rng(6)
+    parts, rows = {}, []
+    for g, n in (("a", 70), ("b", 3), ("c", 41)):
+        x = rng.standard_normal((n, 3))
+        ids = np.arange(n, dtype="int64") * 2
+        parts[g] = brute(ids, x, 4, "euclidean")
+        rows += [(g, 7, int(i), v.tolist()) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "g string, seed int, id long, v array<double>").repartition(3)
+    graph = knn.knn_graph(df, 4, metric="euclidean", by=["g", "seed"], cell_rows=15, block_rows=block, tile=2)
+    assert {g: found(graph.where(graph.g == g)) for g in parts} == parts
+    labels = df.selectExpr("g", "seed", "id", "CAST(id % 4 = 0 AS INT) AS y")
+    score = {(r.g, r.id): r.score for r in knn.knn_disagreement(graph, labels, by=["g", "seed"]).collect()}
+    assert score == pytest.approx({(g, i): np.mean([(i % 4 == 0) != (j % 4 == 0) for j in near])
+                                   for g, lists in parts.items() for i, near in lists.items()})
+    weighted = {(r.g, r.id): r.score for r in knn.knn_weighted(graph, labels, by=["g", "seed"]).collect()}
+    alone = knn.knn_weighted(graph.where("g = 'a'").drop("g", "seed"), labels.where("g = 'a'"))
+    assert {i: s for (g, i), s in weighted.items() if g == "a"} == pytest.approx({r.id: r.score for r in alone.collect()})
+
+
+def test_tiles_send_fewer_vectors(spark, monkeypatch):
+    """Without structure every block is met; a vector goes out once per tile, so tiles of
+    eight blocks send an eighth of the vectors. The neighbours are the same."""
+    x = np.random.default_rng(7).standard_normal((512, 24))
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(512), "v": list(x)})).repartition(3)
+    sent, got, plain = {}, {}, knn.stored
+    for tile in (1, 8):
+        monkeypatch.setattr(knn, "stored", lambda d, name="part", tile=tile: (
+            out := plain(d, name), sent.setdefault(tile, out.count()) if name == "visits" else None)[0])
+        got[tile] = found(knn.knn_graph(df, 5, cell_rows=64, block_rows=8, tile=tile))
+    assert got[1] == got[8] == brute(np.arange(512), x, 5, "cosine")
+    assert sent[8] < sent[1] / 6
