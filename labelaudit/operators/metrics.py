@@ -106,17 +106,19 @@ def classification_metrics(df: DataFrame, truth: str = "y", proba: str = "p",
         _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"))
 
 
-def topk_overlap(df: DataFrame, score_a: str, score_b: str, k: int, id_col: str = "id") -> DataFrame:
-    """One row: intersection and Jaccard of the two top-k sets."""
+def topk_overlap(df: DataFrame, score_a: str, score_b: str, k: int, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Intersection and Jaccard of the two top-k sets, a row per group."""
     def best(score):
+        if by:
+            return top_k(df.select(*by, id_col, score), by, score, k, id_col).select(*by, id_col)
         return df.orderBy(F.col(score).desc(), id_col).limit(k).select(id_col)
-    return set_overlap(best(score_a), best(score_b), id_col)
+    return set_overlap(best(score_a), best(score_b), id_col, by)
 
 
-def set_overlap(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
-    """One row: intersection and Jaccard of two id sets."""
-    both = (a.select(id_col, F.lit(1).alias("in_a"))
-            .join(b.select(id_col, F.lit(1).alias("in_b")), id_col, "full"))
+def set_overlap(a: DataFrame, b: DataFrame, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """Intersection and Jaccard of two id sets, a row per group that has an id."""
+    key = [*by, id_col]
+    both = a.select(*key, F.lit(1).alias("in_a")).join(b.select(*key, F.lit(1).alias("in_b")), key, "full")
     inter, union = F.count_if(F.col("in_a").isNotNull() & F.col("in_b").isNotNull()), F.count("*")
-    return both.agg(inter.alias("intersection"),
-                    F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard"))
+    cells = [inter.alias("intersection"), F.when(union > 0, inter / union).otherwise(0.0).alias("jaccard")]
+    return both.groupBy(*by).agg(*cells) if by else both.agg(*cells)

@@ -90,8 +90,11 @@ def histogram(df: DataFrame, score: str, bins: int, by: Sequence[str] = ()) -> D
         *by, "bin", "left").agg(F.count("*").alias("n"))
 
 
-def top_suspects(df: DataFrame, score: str = "ensemble", n: int = 100, id_col: str = "id") -> DataFrame:
-    """The n rows of highest score with `rank` from 1 (Spark keeps n per task)."""
+def top_suspects(df: DataFrame, score: str = "ensemble", n: int = 100, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """The n rows of highest score (of each group) with `rank` from 1 (Spark keeps n per task)."""
+    if by:
+        from .ranking import top_k
+        return top_k(df, by, score, n, id_col)
     best = df.orderBy(F.col(score).desc(), id_col).limit(n)
     packed = best.agg(F.sort_array(F.collect_list(F.struct(
         (-F.col(score)).alias("o"), F.col(id_col).alias("i"), F.struct(*df.columns).alias("row")))).alias("a"))
@@ -128,27 +131,27 @@ def unsafe_audit(df: DataFrame, by: str = "source", score: str = "ensemble", k:
     return sizes.join(in_top, by).join(ids, by, "left")
 
 
-def overlap_report(df: DataFrame, k: int = 100, id_col: str = "id") -> DataFrame:
-    """(pair, intersection, jaccard) of top-k sets, the last against all anchor
+def overlap_report(df: DataFrame, k: int = 100, id_col: str = "id", by: Sequence[str] = ()) -> DataFrame:
+    """(by, pair, intersection, jaccard) of top-k sets, the last against all anchor
     rows. Needs knn_raw, knn_cc, confident_learning, ensemble and
     heuristic_bot_flag."""
-    ensemble = df.orderBy(F.col("ensemble").desc(), id_col).limit(k).select(id_col)
-    parts = {"knn_raw_vs_knn_cc": topk_overlap(df, "knn_raw", "knn_cc", k, id_col),
-             "knn_cc_vs_confident_learning": topk_overlap(df, "knn_cc", "confident_learning", k, id_col),
+    ensemble = top_suspects(df, "ensemble", k, id_col, by).select(*by, id_col)
+    parts = {"knn_raw_vs_knn_cc": topk_overlap(df, "knn_raw", "knn_cc", k, id_col, by),
+             "knn_cc_vs_confident_learning": topk_overlap(df, "knn_cc", "confident_learning", k, id_col, by),
              "ensemble_vs_heuristic": set_overlap(
-                 ensemble, df.where("heuristic_bot_flag").select(id_col), id_col)}
+                 ensemble, df.where("heuristic_bot_flag").select(*by, id_col), id_col, by)}
     out = None
     for name, part in parts.items():
-        part = part.select(F.lit(name).alias("pair"), "intersection", F.round("jaccard", 4).alias("jaccard"))
+        part = part.select(*by, F.lit(name).alias("pair"), "intersection", F.round("jaccard", 4).alias("jaccard"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def audit_flags(df: DataFrame) -> DataFrame:
+def audit_flags(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and rate of confident-learning flags, and of anchor rows."""
-    return df.agg(F.count("*").alias("n"), F.count_if("cl_flag").alias("confident_learning_flags"),
-                  (F.count_if("cl_flag") / F.count("*")).alias("confident_learning_flag_rate"),
-                  F.count_if("heuristic_bot_flag").alias("heuristic_bot_flags"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if("cl_flag").alias("confident_learning_flags"),
+                               (F.count_if("cl_flag") / F.count("*")).alias("confident_learning_flag_rate"),
+                               F.count_if("heuristic_bot_flag").alias("heuristic_bot_flags"))
 
 
 def study_summary(metrics: DataFrame, noise: DataFrame, knn: DataFrame, audit: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.draws import draw
-from ..sizes import class_counts
+from ..sizes import SMALL_ROWS, class_counts
 from .ranking import inside_cut, quota_cuts, rank_within
 
 
@@ -174,3 +174,80 @@ def triplets(df: DataFrame, seed: int = 42, label: str = "y", id_col: str = "id"
                               F.col(id_col).alias("negative"))
     return (anchors.join(positives, ["pos_y", "p"]).join(negatives, ["neg_y", "q"])
             .select("anchor", "positive", "negative", F.col("pos_y").alias("y"), "neg_y"))
+
+
+def _group_counts(df: DataFrame, by, label: str) -> dict[tuple, dict]:
+    """{group: {class: rows}}, classes in order."""
+    rows = df.groupBy(*by, label).count().limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"more than {SMALL_ROWS} classes of groups")
+    out: dict[tuple, dict] = {}
+    for *group, c, n in sorted(map(tuple, rows), key=lambda r: (str(r[:-2]), r[-2])):
+        out.setdefault(tuple(group), {})[c] = n
+    return out
+
+
+def _group_table(df: DataFrame, by, label: str, values: dict[tuple, dict], name: str) -> DataFrame:
+    """(by, label, name), to be broadcast: a row per class of a group."""
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (*by, label))
+    return df.sparkSession.createDataFrame([(*g, c, v) for g, each in values.items() for c, v in each.items()], f"{kinds}, {name} long")
+
+
+def _mark_groups(df: DataFrame, by, label: str, quotas: dict[tuple, dict], tag: str, id_col: str, flag: str) -> DataFrame:
+    """`_mark` for many groups in one pass; the seed is a column."""
+    drawn = df.withColumn("u", draw(F.col("seed"), tag, F.col(id_col)))
+    cuts = quota_cuts(drawn, [*by, label], _group_table(df, by, label, quotas, "quota"), id_col)
+    return (drawn.join(F.broadcast(cuts), [*by, label], "left")
+            .withColumn(flag, inside_cut(id_col)).drop("u", "cut_u", "cut_id"))
+
+
+def split_groups(df: DataFrame, by, test_size: float = 0.3, label: str = "y", id_col: str = "id") -> DataFrame:
+    """`stratified_split` of every group at once; `by` has the column `seed`."""
+    quotas = {}
+    for group, counts in _group_counts(df, by, label).items():
+        if min(counts.values()) < 2:
+            raise ValueError(f"group {group} has a class with one row, which cannot be split")
+        n = sum(counts.values())
+        train = largest_remainder(counts, n - math.ceil(test_size * n))
+        quotas[group] = {c: counts[c] - train[c] for c in counts}
+    marked = _mark_groups(df, by, label, quotas, "split", id_col, "in_test")
+    return marked.withColumn("split", F.when(F.col("in_test"), "test").otherwise("train")).drop("in_test")
+
+
+def subsample_groups(df: DataFrame, by, n: int, label: str = "y", id_col: str = "id") -> DataFrame:
+    """`balanced_subsample` of every group at once; `by` has the column `seed`."""
+    quotas = {}
+    for group, counts in _group_counts(df, by, label).items():
+        share = n if len(counts) < 2 else min(n // len(counts), min(counts.values()))
+        if share < 1:
+            raise ValueError(f"subsample={n} is too small for the classes of group {group}")
+        quotas[group] = {c: min(share, k) for c, k in counts.items()}
+    return _mark_groups(df, by, label, quotas, "subsample", id_col, "kept").where("kept").drop("kept")
+
+
+def noise_groups(df: DataFrame, by, rates, label: str = "y", id_col: str = "id") -> DataFrame:
+    """`noise_grid`, symmetric, of every group at once: each row once per rate. All
+    rates share one ranking; `by` has the column `seed`."""
+    quotas = [(*g, float(r), round(r * sum(counts.values())) if r > 0 else 0)
+              for g, counts in _group_counts(df, by, label).items() for r in rates]
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
+    table = df.sparkSession.createDataFrame(quotas, f"{kinds}, rate double, quota long")
+    drawn = df.withColumn("u", draw(F.col("seed"), "flip", F.col(id_col)))
+    cuts = quota_cuts(drawn.select(*by, "u", id_col), list(by), table, id_col)
+    full = drawn.withColumn("rate", F.explode(F.array(*[F.lit(float(r)) for r in rates])))
+    return (full.join(F.broadcast(cuts), [*by, "rate"], "left").withColumn("mask", inside_cut(id_col))
+            .withColumn("y_noisy", F.when(F.col("mask"), 1 - F.col(label)).otherwise(F.col(label)))
+            .drop("u", "cut_u", "cut_id"))
+
+
+def fold_groups(df: DataFrame, by, k: int = 4, label: str = "y", id_col: str = "id") -> DataFrame:
+    """`stratified_folds` of every group at once; `by` has the column `seed`."""
+    starts = {}
+    for group, counts in _group_counts(df, by, label).items():
+        before, starts[group] = 0, {}
+        for c, n in counts.items():
+            starts[group][c], before = before, before + n
+    table = F.broadcast(_group_table(df, by, label, starts, "start"))
+    drawn = df.withColumn("u", draw(F.col("seed"), "fold", F.col(id_col)))
+    return (rank_within(drawn, [*by, label], "pos", id_col).join(table, [*by, label])
+            .withColumn("fold", ((F.col("start") + F.col("pos")) % k).cast("int")).drop("u", "pos", "start"))

@@ -85,19 +85,27 @@ def score_table(space: Space, labels: DataFrame, rates: Sequence[float] = ()) ->
     oof = parts[0]
     for part in parts[1:]:
         oof = oof.unionByName(part)
-    oof = stored(oof, "oof")
+    return combine_scores(space.rows, space.raw_graph, space.cc_graph, space.instability, stored(oof, "oof"), labels, by)
+
+
+def combine_scores(rows: DataFrame, raw_graph: DataFrame, cc_graph: DataFrame, instability: DataFrame, oof: DataFrame,
+                   labels: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All scores of `labels` (by, id, y, ...), from (by, id, y, p) in `oof`. Columns of `by` that the
+    label-free tables have are joined on; for the others these are the same."""
+    key = [*by, "id"]
+    same = [c for c in by if c in rows.columns]
     confident = sc.confident_learning(oof, "y", "p", by).select(
         *key, F.col("score").alias("confident_learning"), F.col("flag").alias("cl_flag"), "p")
-    raw = knn.knn_disagreement(space.raw_graph, labels, "y", by).withColumnRenamed("score", "knn_raw")
-    cc = knn.knn_disagreement(space.cc_graph, labels, "y", by).withColumnRenamed("score", "knn_cc")
-    placed = labels.join(space.rows.drop("features"), "id").withColumn(
+    raw = knn.knn_disagreement(raw_graph, labels, "y", by).withColumnRenamed("score", "knn_raw")
+    cc = knn.knn_disagreement(cc_graph, labels, "y", by).withColumnRenamed("score", "knn_cc")
+    placed = labels.join(rows.drop("features"), [*same, "id"]).withColumn(
         "cluster_entropy", sc.cluster_entropy("cluster_p"))
     placed = sc.centroid_distances(placed, "embedding", "y", by).withColumnsRenamed(
         {"own_distance": "centroid_own_distance", "relative_distance": "centroid_relative_distance"})
     placed = sc.cluster_label_mismatch(placed, "cluster", "y", by).withColumnRenamed(
         "score", "cluster_label_mismatch").drop("embedding", "cluster_p", "opposite_distance")
     table = (placed.join(confident, key).join(raw, key).join(cc, key)
-             .join(space.instability.withColumnRenamed("score", "view_instability"), "id"))
+             .join(instability.withColumnRenamed("score", "view_instability"), [*same, "id"]))
     return sc.ensemble(stored(table, "scores"), by=by)
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
+def stored(df: DataFrame, name: str = "part", by: Sequence[str] = ()) -> DataFrame:
     """`df` written once to the shared folder and read back: a lost executor costs
     nothing, later plans stay short, and only needed columns are read again.
-    Everything of a session lies in one folder, to be removed after it."""
+    Everything of a session lies in one folder, to be removed after it. With `by`
+    there is a folder per group, so that a group can be read alone."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    if by:
+        df.hint("rebalance", *by).write.partitionBy(*by).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
