@@ -125,8 +125,9 @@ CORPUS = """corpus AS (
 
 
 def texts(spark, sf) -> DataFrame:
-    """Whole document texts with a binary label."""
-    return table(spark, sf, "documents").select(
+    """Whole document texts with a binary label; a small file is read by few tasks."""
+    documents = table(spark, sf, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return documents.select(
         F.col("doc_id").alias("id"), "text", (F.col("lang") != "en").cast("int").alias("y"))
 
 

@@ -4,9 +4,10 @@
 with what was fitted."""
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.jsontext import canonical, manual_counts
 from ..functions.vectors import zscore
 from ..session import stored
-from .ngrams import document_frequency, row_terms, top_terms
+from .ngrams import GramCounter, document_frequency, row_vectors, text_words, top_terms
 from .sampling import stratified_split
 from .svd import svd_apply, svd_fit
 
@@ -56,44 +57,52 @@ class Preprocessor:
         manual = manual_counts(header, self.request) if self.use_manual else []
         return df.select(*keys, header.alias("text"), F.array(*manual).cast("array<double>").alias("manual"))
 
-    def _rows(self, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """(keys, idx array, val array): a row's vocabulary counts; at most
-        max_features entries."""
-        spark = texts.sparkSession
-        vocabulary = spark.createDataFrame(list(enumerate(self.vocabulary)), "idx int, gram string")
-        terms = row_terms(texts, vocabulary, "text", keys, self.ngram_range)
-        return terms.groupBy(*keys).agg(F.collect_list(F.struct("idx", "tf")).alias("t")).select(
-            *keys, F.col("t.idx").alias("idx"), F.col("t.tf").cast("array<double>").alias("val"))
-
-    def _joined(self, texts: DataFrame, projected: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """SVD and manual places side by side; rows without terms get zeros."""
-        zeros = array_lit([0.0] * len(self.components))
-        both = texts.select(*keys, "manual").join(projected, list(keys), "left")
-        return both.select(*keys, F.concat(F.coalesce("x", zeros), F.col("manual")).alias("x"))
+    def _raw(self, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """(keys, x): SVD and manual places side by side, each row where it is."""
+        kept, counter = list(keys), (self.ngram_range, self.vocabulary)
+        held = texts.sparkSession.sparkContext.broadcast((self.idf, self.components.T))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            grams = GramCounter(*counter)
+            weights, turn = held.value
+            for batch in batches:
+                for first, last, offsets, place, count in grams.count(batch.column("words")):
+                    dense = np.zeros((last - first, len(weights)))
+                    dense[np.repeat(np.arange(last - first), np.diff(offsets)), place] = count
+                    dense *= weights
+                    size = np.sqrt(np.einsum("ij,ij->i", dense, dense))[:, None]
+                    x = (dense @ turn) / np.where(size > 0, size, 1.0)
+                    manual = batch.column("manual").slice(first, last - first)
+                    x = np.concatenate([x, manual.flatten().to_numpy(zero_copy_only=False).reshape(last - first, -1)], axis=1)
+                    at = pa.array(np.arange(last - first + 1, dtype="int32") * x.shape[1])
+                    yield pa.record_batch({**{c: batch.column(c).slice(first, last - first) for c in kept},
+                                           "x": pa.ListArray.from_arrays(at, pa.array(x.ravel()))})
+
+        kinds = "".join(f"{c} {texts.schema[c].dataType.simpleString()}, " for c in kept)
+        words = texts.select(*kept, text_words(F.col("text")).alias("words"), "manual")
+        return words.mapInArrow(work, f"{kinds}x array<double>")
 
     def fit(self, df: DataFrame, keys: Sequence[str] = ("id",)) -> "Preprocessor":
         texts = self._texts(df, keys)
         top = top_terms(texts, "text", self.max_features, self.ngram_range)
         self.vocabulary = sorted(r["gram"] for r in top.collect())
-        rows = stored(self._rows(texts, keys), "terms")
-        seen = rows.select(*keys, F.explode("idx").alias("idx"))
-        frequency = dict(document_frequency(seen).collect())
-        n = texts.count()
+        carried = (*keys, "manual")
+        rows = stored(row_vectors(texts, self.vocabulary, "text", carried, self.ngram_range), "terms")
+        frequency = dict(document_frequency(rows.select(F.explode("idx").alias("idx"))).collect())
+        n = rows.count()
         df = np.array([frequency.get(i, 0) for i in range(len(self.vocabulary))], dtype=float)
         self.idf = np.log((1 + n) / (1 + df)) + 1
         self.components, self.singular_values = svd_fit(
             rows, len(self.vocabulary), self.svd_dim, self.seed, self.idf)
-        projected = svd_apply(rows, self.components, keys, self.idf)
-        self.mean, self.std = moments(self._joined(texts, projected, keys), "x")
+        projected = svd_apply(rows, self.components, carried, self.idf)
+        self.mean, self.std = moments(projected.select(F.concat("x", "manual").alias("x")), "x")
         return self
 
     def transform(self, df: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
-        """(keys, features array<float>)."""
+        """(keys, features array<float>), without a shuffle."""
         if self.vocabulary is None:
             raise RuntimeError("transform called before fit")
-        texts = self._texts(df, keys)
-        projected = svd_apply(self._rows(texts, keys), self.components, keys, self.idf)
-        raw = self._joined(texts, projected, keys)
+        raw = self._raw(self._texts(df, keys), keys)
         x = zscore("x", array_lit(self.mean), array_lit(self.std)) if self.scale else F.col("x")
         return raw.select(*keys, x.cast("array<float>").alias("features"))
 

@@ -1,10 +1,11 @@
 """What the plans must look like at scale."""
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from checks.views import corpus, requests, texts
-from labelaudit.operators import ngrams as ng, sampling as sp, views as vw
+from labelaudit.operators import features as ft, ngrams as ng, sampling as sp, views as vw
 from labelaudit.operators.ranking import top_k
 from labelaudit.sources import requests as rq
 
@@ -40,12 +41,16 @@ def test_top_k_trims_before_the_shuffle(spark, sf):
     assert re.search(r"WindowGroupLimit.*Partial", text)
 
 
-def test_terms_move_the_texts_once(spark, sf):
-    t = texts(spark, sf)
+def test_terms_and_features_move_no_text(spark, sf, tmp_path):
+    path = str(tmp_path / "texts")
+    texts(spark, sf).write.parquet(path)
+    t = spark.read.parquet(path)
     vocabulary = spark.createDataFrame([(0, "th"), (1, "he")], "idx int, gram string")
-    text = plan(ng.row_terms(t, vocabulary).groupBy("id").agg(F.collect_list("idx")))
-    assert text.count("Exchange hashpartitioning") == 1
-    assert "BroadcastHashJoin" in text
+    pre = ft.Preprocessor(svd_dim=2, max_features=30, headers="text", request="text")
+    pre.vocabulary, pre.idf, pre.components = ["th", "he"], np.ones(2), np.eye(2)
+    pre.mean, pre.std = np.zeros(6), np.ones(6)
+    for df in (ng.char_ngrams(t), ng.row_terms(t, vocabulary), pre.transform(t)):
+        assert "Exchange" not in plan(df)
 
 
 def test_flips_do_not_shuffle_the_rows(spark, sf, tmp_path):
