@@ -55,7 +55,8 @@ class Preprocessor:
     def _texts(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         header = canonical(self.headers) if self.canonicalize else F.col(self.headers)
         manual = manual_counts(header, self.request) if self.use_manual else []
-        return df.select(*keys, header.alias("text"), F.array(*manual).cast("array<double>").alias("manual"))
+        counts = [F.coalesce(m, F.lit(0)) for m in manual]        # a null text has nothing to count
+        return df.select(*keys, header.alias("text"), F.array(*counts).cast("array<double>").alias("manual"))
 
     def _raw(self, texts: DataFrame, keys: Sequence[str]) -> DataFrame:
         """(keys, x): SVD and manual places side by side, each row where it is."""
