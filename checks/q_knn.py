@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from labelaudit.functions.draws import draw
 from labelaudit.operators import knn, metrics
 from labelaudit.operators.ranking import exact_median
-from labelaudit.operators.sampling import inject_label_noise
+from labelaudit.operators.sampling import inject_label_noise, noise_groups
 from labelaudit.session import stored
 
 from .registry import register
@@ -148,3 +148,37 @@ def _(spark, sf):
 def _(spark, sf):
     d = probs2(spark, sf).select("id", F.col("p")[1].alias("a"), draw(42, "b", F.col("id")).alias("b"))
     return rounded(metrics.topk_overlap(d, "a", "b", 100))
+
+
+RATES, SEEDS = (0.01, 0.03, 0.05, 0.10, 0.20), (42, 7, 123, 2024, 999)
+
+
+@register("grid_noise", sql("vectors", "@" + f"""unit AS (SELECT id, y, y10 AS source,
+    list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS w FROM vectors WHERE y10 IS NOT NULL),
+  graph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr_id) AS rank FROM (
+    SELECT a.source, a.id, b.id AS nbr_id, round(greatest(1 - list_dot_product(a.w, b.w), 0), 12) AS dist
+    FROM unit a JOIN unit b ON a.source = b.source AND a.id <> b.id)) WHERE rank <= {K}),
+  drawn AS (SELECT source, seed, id, y, count(*) OVER (PARTITION BY source, seed) AS c,
+    row_number() OVER (PARTITION BY source, seed ORDER BY {sql_draw('seed', "'flip'", 'id')}, id) AS rn
+    FROM unit, (SELECT unnest({list(SEEDS)}) AS seed)),
+  flips AS (SELECT source, seed, rate, id, rn <= round_even(rate * c, 0) AS mask,
+    CASE WHEN rn <= round_even(rate * c, 0) THEN 1 - y ELSE y END AS y
+    FROM drawn, (SELECT unnest({list(RATES)}::DOUBLE[]) AS rate)),
+  scored AS (SELECT a.source, a.seed, a.rate, a.id, any_value(a.mask) AS mask,
+    avg(CASE WHEN a.y <> b.y THEN 1.0::DOUBLE ELSE 0 END) AS score
+    FROM graph g JOIN flips a ON a.source = g.source AND a.id = g.id
+    JOIN flips b ON b.source = a.source AND b.seed = a.seed AND b.rate = a.rate AND b.id = g.nbr_id
+    GROUP BY a.source, a.seed, a.rate, a.id)""" + ranking_sql("scored", by="source, seed, rate") +
+    "SELECT * REPLACE (CASE WHEN isnan(roc_auc) OR roc_auc IS NULL THEN 'nan'::DOUBLE ELSE roc_auc END AS roc_auc, "
+    "CASE WHEN isnan(auprc) OR auprc IS NULL THEN 'nan'::DOUBLE ELSE auprc END AS auprc) "
+    "FROM area JOIN tops USING (source, seed, rate)"))
+def _(spark, sf):
+    """Neighbours within each source, flips of every (source, seed, rate), one plan for all of them."""
+    v = vectors(spark, sf).where("y10 IS NOT NULL").withColumnRenamed("y10", "source")
+    near = knn.knn_graph(v, K, by=["source"])
+    seeded = v.select("source", "id", "y").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in SEEDS])))
+    flips = noise_groups(stored(seeded, "seeded"), ["source", "seed"], RATES)
+    labels = stored(flips.select("source", "seed", "rate", "id", F.col("y_noisy").alias("y"), "mask"), "labels")
+    by = ["source", "seed", "rate"]
+    score = knn.knn_disagreement(near, labels, by=by).join(labels.drop("y"), [*by, "id"])
+    return rounded(metrics.noise_detection_metrics(score, by=by), by)

@@ -13,7 +13,11 @@ from .views import corpus
 
 SMOKE = scg.Settings(svd_dim=16, max_features=1000, embedding_dims=4, views=3, knn_k=15, trees=20,
                      max_depth=10, baseline_trees=30, restarts=3)
+# for all sources at once: the fits of each are many small jobs
+LIGHT = scg.Settings(svd_dim=8, max_features=500, embedding_dims=4, views=2, knn_k=15, folds=2, trees=10,
+                     max_depth=5, baseline_trees=20, restarts=1)
 SEEDS = (42, 7)
+STUDY_RATES = (0.05, 0.10, 0.20)
 
 
 def _rows(spark, sf):
@@ -54,7 +58,7 @@ def _(spark, sf):
 
 @register("synthetic_noise")
 def _(spark, sf):
-    graded = nz.synthetic_noise_study(_rows(spark, sf), (0.05, 0.2), (42,), settings=SMOKE)
+    graded = nz.synthetic_noise_study(_rows(spark, sf), seeds=(42,), settings=SMOKE)
     return rounded(graded, ["score", "rate", "seed"])
 
 
@@ -73,21 +77,30 @@ def _(spark, sf):
     return au.audit_reports(au.audit_labels(_rows(spark, sf), 42, SMOKE))["overlap"]
 
 
-def _study(spark, sf, sources, subsample=None):
-    return ss.cross_source_study(_rows(spark, sf), sources, seeds=(42,), subsample=subsample,
-                                 rates=(0.1,), settings=SMOKE)
-
-
 @register("source_study")
 def _(spark, sf):
-    return rounded(_study(spark, sf, [7])["summary"], ["source", "best_method"])
+    """One source, all seeds, rates and tables, as (table, row, column, value)."""
+    study = ss.source_study(_rows(spark, sf), 7, seeds=SEEDS, rates=STUDY_RATES, settings=SMOKE)
+    named = {
+        "summary": study["summary"].drop("best_method"),
+        "balance": study["balance"].drop("source"),
+        "classification": study["classification"].select(F.concat_ws(" ", "method", "metric").alias("row"), "mean", "std"),
+        "clustering": study["clustering"].select(F.concat_ws(" ", "method", "metric").alias("row"), "mean", "std"),
+        "synthetic_noise": study["synthetic_noise"].select(F.concat_ws(" ", "score", "rate", "seed").alias("row"), "roc_auc", "auprc", "base_rate"),
+        "knn_comparison": study["knn_comparison"].select(F.concat_ws(" ", "variant", "seed").alias("row"), "roc_auc"),
+        "real_audit": study["real_audit"],
+        "top_suspects": study["top_suspects"].select("rank", "id", "y", "ensemble", "confident_learning", "knn_cc"),
+    }
+    return rounded(ss.long_tables(named), ["table", "row", "column"])
 
 
 @register("cross_source_tables")
 def _(spark, sf):
-    study = _study(spark, sf, [7, 3])
-    table = ss.cross_source_tables(study, [7, 3])["noise_by_source"]
-    return rounded(table, ["score"])
+    """All sources side by side: the five report tables as (table, row, column, value)."""
+    rows = _rows(spark, sf)
+    sources = [r[0] for r in rows.select("source").distinct().orderBy("source").collect()]
+    study = ss.cross_source_study(rows, seeds=SEEDS[:1], rates=STUDY_RATES, settings=LIGHT)
+    return rounded(ss.long_tables(ss.cross_source_tables(study, sources)), ["table", "row", "column"])
 
 
 @register("feature_ablation")
