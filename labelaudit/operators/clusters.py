@@ -2,15 +2,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 
-MAX_ENUMERATED = 7
-
 
 def contingency(df: DataFrame, cluster: str = "cluster", label: str = "y",
                 by: Sequence[str] = ()) -> DataFrame:
@@ -69,39 +67,54 @@ def normalized_mutual_info(table: DataFrame, cluster: str = "cluster", label: st
     return out.select(*by, value.alias("nmi"))
 
 
-def _best_matching(cells: dict, size: int) -> int:
-    """Largest total of a one-to-one matching of a small k x k table: by subsets
-    of the columns, one row at a time."""
-    if size <= MAX_ENUMERATED:
-        return max(sum(cells.get((r, c), 0) for r, c in enumerate(order))
-                   for order in permutations(range(size)))
-    best = {0: 0}
-    for row in range(size):
-        step: dict = {}
-        for used, value in best.items():
-            for c in range(size):
-                if not used >> c & 1:
-                    got = value + cells.get((row, c), 0)
-                    key = used | 1 << c
-                    if step.get(key, -1) < got:
-                        step[key] = got
-        best = step
-    return max(best.values())
+def _best_matching(gain: np.ndarray) -> float:
+    """Largest total of a one-to-one matching of rows and columns: a shortest augmenting path
+    per row, under prices that keep every matched cell tight."""
+    if gain.shape[0] > gain.shape[1]:
+        gain = gain.T
+    rows, columns = gain.shape
+    price_row, price_column = np.zeros(rows), np.zeros(columns)
+    partner = np.full(columns, -1)                    # the row a column is matched to
+    for start in range(rows):
+        reach, via = np.full(columns, np.inf), np.full(columns, -1)
+        done, row, last, far = np.zeros(columns, bool), start, -1, 0.0
+        visited = [start]
+        while True:
+            step = far - gain[row] - price_row[row] - price_column
+            closer = ~done & (step < reach)
+            reach[closer], via[closer] = step[closer], last
+            last = int(np.argmin(np.where(done, np.inf, reach)))
+            far = reach[last]
+            done[last] = True
+            if partner[last] < 0:
+                break
+            row = int(partner[last])
+            visited.append(row)
+        settled = done.copy()
+        settled[last] = False
+        price_row[start] += far
+        price_row[partner[settled]] += far - reach[settled]
+        price_column[settled] -= far - reach[settled]
+        while last >= 0:                              # turn the path round
+            before = via[last]
+            partner[last] = start if before < 0 else partner[before]
+            last = before
+    matched = np.flatnonzero(partner >= 0)
+    return float(gain[partner[matched], matched].sum())
 
 
 def cluster_accuracy(table: DataFrame, cluster: str = "cluster", label: str = "y",
                      by: Sequence[str] = ()) -> DataFrame:
     """(by, cluster_acc): accuracy under the best one-to-one matching of clusters
-    and classes. The matching needs the k x k counts only (k <= 16)."""
+    and classes, of any number and any names. A group's counts are matched in one task."""
     table, keys = _with_group(table, by)
-    wide = table.agg(F.max(F.greatest(cluster, label)).alias("m")).first()["m"]
-    size = int(wide) + 1
-    if size > 16:
-        raise ValueError("matching is meant for up to 16 clusters and classes")
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:   # at most 256 cells
-        cells = dict(zip(zip(group[cluster], group[label]), group["n"]))
-        return group[keys].head(1).assign(cluster_acc=_best_matching(cells, size) / group["n"].sum())
+    def match(group: pd.DataFrame) -> pd.DataFrame:   # one row per (cluster, label)
+        row, clusters = pd.factorize(group[cluster], use_na_sentinel=False)
+        column, labels = pd.factorize(group[label], use_na_sentinel=False)
+        gain = np.zeros((len(clusters), len(labels)))
+        gain[row, column] = group["n"]
+        return group[keys].head(1).assign(cluster_acc=_best_matching(gain) / group["n"].sum())
 
     kinds = ", ".join(f"{k} {table.schema[k].dataType.simpleString()}" for k in keys)
     return table.groupBy(*keys).applyInPandas(match, f"{kinds}, cluster_acc double").select(
@@ -129,8 +142,7 @@ def clustering_metrics(df: DataFrame, cluster: str = "cluster", label: str = "y"
     """(by, ari, nmi, cluster_acc, entropy, n_nonempty) from one contingency table,
     which is kept so that the rows are read once."""
     table, keys = _with_group(contingency(df, cluster, label, by), by)
-    # a few hundred rows: one partition, so that nothing below is shuffled again
-    table = stored(table, "contingency").coalesce(1)
+    table = stored(table, "contingency")
     out = adjusted_rand(table, cluster, label, keys)
     for part in (normalized_mutual_info(table, cluster, label, keys),
                  cluster_accuracy(table, cluster, label, keys),

@@ -277,3 +277,24 @@ def test_draw_is_uniform(spark):
     row = spark.range(20000).select(draw(42, "t", F.col("id")).alias("u")).agg(
         F.avg("u"), F.min("u"), F.max("u")).first()
     assert abs(row[0] - 0.5) < 0.01 and row[1] >= 0 and row[2] < 1
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (2, 5), (6, 6), (7, 3)])
+def test_best_matching_against_all(shape):
+    from itertools import permutations
+    rng = np.random.default_rng(sum(shape))
+    for _ in range(30):
+        gain = rng.integers(0, 9, shape).astype(float)
+        small, large = sorted(shape)
+        wide = gain if shape[0] <= shape[1] else gain.T
+        best = max(sum(wide[i, j] for i, j in enumerate(order)) for order in permutations(range(large), small))
+        assert cl._best_matching(gain) == best
+
+
+def test_matching_of_many_sparse_labels(spark):
+    """Twenty classes with far-apart numbers, named otherwise as clusters, and a few strays."""
+    rows = [(1000 * c, -7 * c, 10 + c) for c in range(20)] + [(1000 * c, -7 * ((c + 3) % 20), 2) for c in range(20)]
+    table = spark.createDataFrame([("a", *r) for r in rows] + [("b", None, 5, 3)], "g string, cluster long, y long, n long")
+    got = {r["g"]: r["cluster_acc"] for r in cl.cluster_accuracy(table, by=["g"]).collect()}
+    right = sum(10 + c for c in range(20))
+    assert got == {"a": right / (right + 40), "b": 1.0}
