@@ -40,9 +40,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_study(tables: dict[str, DataFrame], root: str) -> None:
-    """Each table under `<root>/<name>`, partitioned by source."""
+    """Each table under `<root>/<name>`, partitioned by source. A source that is there
+    already is replaced, other sources stay."""
     for name, df in tables.items():
-        df.write.mode("append").partitionBy("source").parquet(f"{root}/{name}")
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("source").parquet(f"{root}/{name}"))
 
 
 def load_study(spark: SparkSession, root: str, source: str) -> dict[str, DataFrame] | None:

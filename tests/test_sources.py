@@ -75,3 +75,13 @@ def test_stream_flags(spark, tmp_path):
     got = sorted(r["weak_label"] for r in spark.read.parquet(out).collect())
     assert got == [-1, 1, 1]
     assert spark.read.parquet(out).where(F.col("has_script_ua")).count() == 1
+
+
+def test_a_source_saved_again_is_replaced(spark, tmp_path):
+    root = str(tmp_path / "study")
+    rows = lambda *r: spark.createDataFrame(r, "source string, value int")
+    every = lambda d: {name: d for name in tables.STUDY_TABLES}
+    tables.save_study(every(rows(("a", 1), ("a", 2), ("b", 3))), root)
+    tables.save_study(every(rows(("a", 5))), root)
+    found = {s: sorted(r["value"] for r in tables.load_study(spark, root, s)["summary"].collect()) for s in "ab"}
+    assert found == {"a": [5], "b": [3]}
