@@ -17,11 +17,30 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def one_value(text: Column, quotes: str = "false") -> Column:
+    """Whether a text is a single JSON value. Spark's reader stops after the first value, so the
+    text is read in brackets and as a member: no tail fits into both."""
+    options = {"allowSingleQuotes": quotes}
+    item = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", options)
+    member = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "map<string,string>", options)
+    return F.coalesce((F.size(item) == 1) & (F.size(member) == 1), F.lit(False))
+
+
 def entries(text) -> Column:
-    """Entries of a JSON object as array<struct<key, value variant>> in text
-    order, the last of equal keys kept; null if the text is no JSON object."""
-    raw = F.map_entries(F.from_json(_col(text), _MAP, {"allowSingleQuotes": "false"}))
-    return last_of_equal_keys(raw)
+    """Entries of a JSON object as array<struct<key, value variant, raw string>> in text
+    order, the last of equal keys kept; null if the text is no JSON object. `raw` is the
+    text of a nested value with its keys as they stand."""
+    options = {"allowSingleQuotes": "false"}
+    values = F.map_entries(F.from_json(_col(text), _MAP, options))
+    texts = F.map_entries(F.from_json(_col(text), "map<string,string>", options))
+    raw = F.zip_with(values, texts, lambda v, t: F.struct(v["key"].alias("key"), v["value"].alias("value"), t["value"].alias("raw")))
+    return last_of_equal_keys(F.when(one_value(_col(text)), raw))
+
+
+def value_text(entry: Column) -> Column:
+    """The value of one of `entries` as compact JSON; nested keys stay in order."""
+    plain = F.to_json(entry["value"])
+    return F.when(F.left(plain, F.lit(1)).isin("{", "["), entry["raw"]).otherwise(plain)
 
 
 def last_of_equal_keys(pairs: Column) -> Column:
@@ -41,14 +60,18 @@ def quoted(text: Column) -> Column:
 
 
 def canonical(text) -> Column:
-    """Compact JSON with sorted keys; text that is no JSON is left alone."""
-    return F.coalesce(F.to_json(F.try_parse_json(_col(text))), _col(text))
+    """Compact JSON with sorted keys, of equal keys the last; text that is no JSON is left alone."""
+    # a variant cannot hold equal keys: such an object is put together from its entries
+    members = F.transform(F.array_sort(F.transform(entries(text), lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("json")))),
+                          lambda e: F.concat(quoted(e["key"]), F.lit(":"), e["json"]))
+    again = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    return F.coalesce(F.when(one_value(_col(text)), F.coalesce(F.to_json(F.try_parse_json(_col(text))), again)), _col(text))
 
 
 def parse_object(text) -> Column:
     """Tolerant form: JSON object, single-quoted object, else an empty map."""
     parsed = F.from_json(_col(text), "map<string,string>", {"allowSingleQuotes": "true"})
-    return F.coalesce(parsed, F.create_map().cast("map<string,string>"))
+    return F.coalesce(F.when(one_value(_col(text), "true"), parsed), F.create_map().cast("map<string,string>"))
 
 
 # Spellings tried before any other case.
@@ -56,14 +79,14 @@ UA_KEYS = ("User-Agent", "user-agent", "USER-AGENT")
 
 
 def user_agent(text) -> Column:
-    """User-Agent of a headers text, '' if there is none."""
+    """User-Agent of a headers text, '' if there is none, 'None' if it is a JSON null."""
     def spelled(pairs, key):
-        return F.try_element_at(F.filter(pairs, lambda e: e["key"] == key), F.lit(-1))["value"]
+        return F.try_element_at(F.filter(pairs, lambda e: e["key"] == key), F.lit(-1))
 
     def body(pairs):
         loose = F.filter(pairs, lambda e: F.lower(e["key"]) == "user-agent")
-        return F.coalesce(*[spelled(pairs, key) for key in UA_KEYS],
-                          F.try_element_at(loose, F.lit(1))["value"], F.lit(""))
+        found = F.coalesce(*[spelled(pairs, key) for key in UA_KEYS], F.try_element_at(loose, F.lit(1)))
+        return bind(found, lambda e: F.when(e.isNull(), "").otherwise(F.coalesce(e["value"], F.lit("None"))))
     return bind(F.map_entries(parse_object(text)), body)
 
 
