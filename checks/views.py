@@ -110,6 +110,7 @@ def corpus(spark, sf) -> DataFrame:
         "id", F.col("traffic_source_id").alias("source"),
         F.when(n % 97 == 0, F.lit("not json")).when(n % 101 == 0, F.lit("[1,2]"))
         .when(n % 103 == 0, F.lit("{'User-Agent': 'x'}"))
+        .when(n % 109 == 0, F.lit('{"User-Agent": "curl"} tail'))
         .otherwise(map_text(with_user_agent(F.col("headers"), F.col("user_agent")))).alias("headers"),
         F.when(n % 107 == 0, F.lit("{}")).otherwise(map_text("params")).alias("request"),
         (F.col("decision") == "bot").cast("int").alias("y"))
@@ -118,7 +119,8 @@ def corpus(spark, sf) -> DataFrame:
 CORPUS = """corpus AS (
   SELECT id, traffic_source_id AS source,
     CASE WHEN id % 97 = 0 THEN 'not json' WHEN id % 101 = 0 THEN '[1,2]'
-         WHEN id % 103 = 0 THEN '{''User-Agent'': ''x''}' ELSE headers END AS headers,
+         WHEN id % 103 = 0 THEN '{''User-Agent'': ''x''}'
+         WHEN id % 109 = 0 THEN '{"User-Agent": "curl"} tail' ELSE headers END AS headers,
     CASE WHEN id % 107 = 0 THEN '{}' ELSE request END AS request,
     CAST(decision = 'bot' AS INTEGER) AS y
   FROM shaped WHERE decision IN ('bot','offer') AND NOT duplicated)"""
