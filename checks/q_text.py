@@ -193,37 +193,37 @@ def _rebuilt(view: str, column: str, chance, out: str, fallback: str) -> str:
 
 def views_sql(config: str, n_views: int) -> str:
     """Clauses pool, view_headers and view_request for a named config."""
-    cfg = vw.get_config(config)
+    do = vw.chances(config)
     h = lambda tag, *k: sql_draw(42, f"'{tag}'", "c.id", "c.view", *k)
     r = lambda tag, *k: sql_draw(42, f"'request-{tag}'", "c.id", "c.view", *k)
-    if not cfg.preserve_ua and cfg.ua_mask_prob >= 1:
-        agent = f"'{cfg.mask_token}'"
+    if do["agent"]:
+        agent = f"'{vw.MASK}'"
     else:
-        agent = f"CASE WHEN {h('agent', 'k')} < {cfg.ua_mask_prob} THEN {_MASK_VERSIONS('v')} ELSE v END"
+        agent = f"CASE WHEN {h('agent', 'k')} < {do['versions']} THEN {_MASK_VERSIONS('v')} ELSE v END"
     templated = "regexp_matches(v, '\\{\\{.*?\\}\\}')"
-    unmask = lambda c: f"regexp_replace({c}, '\\{{\\{{.*?\\}}\\}}', '{cfg.mask_token}', 'g')"
-    keep_t = "" if cfg.preserve_template else f"WHEN {templated} THEN to_json({unmask('v')})::VARCHAR"
-    new_key = lambda f: f"CASE WHEN {f('case', 'k')} < {cfg.change_case_prob} THEN {_VARY('k', f('spelling', 'k'))} ELSE k END"
+    unmask = lambda c: f"regexp_replace({c}, '\\{{\\{{.*?\\}}\\}}', '{vw.MASK}', 'g')"
+    keep_t = "" if not do["template"] else f"WHEN {templated} THEN to_json({unmask('v')})::VARCHAR"
+    new_key = lambda f: f"CASE WHEN {f('case', 'k')} < {do['spelling']} THEN {_VARY('k', f('spelling', 'k'))} ELSE k END"
     unnested = lambda col: (f"SELECT id, view, e.key AS k, e.value AS v FROM (SELECT id, view, "
                             f"unnest(map_entries({_OBJ(col)})) AS e FROM corpus, pool)")
     return f"""@pool AS (SELECT unnest(generate_series(1, {n_views})) AS view),
   kept_headers AS (SELECT id, view, {h('order', 'k')} AS o, {new_key(h)} AS nk,
     CASE WHEN lower(k) = 'user-agent' THEN to_json({agent})::VARCHAR
-      WHEN lower(k) NOT IN {_in(vw.SEMANTIC)} AND {h('mask', 'k')} < {cfg.mask_value_prob}
-        THEN '"{cfg.mask_token}"' ELSE to_json(v)::VARCHAR END AS nv
+      WHEN lower(k) NOT IN {_in(vw.SEMANTIC)} AND {h('mask', 'k')} < {do['header']}
+        THEN '"{vw.MASK}"' ELSE to_json(v)::VARCHAR END AS nv
     FROM ({unnested('headers')}) c
-    WHERE NOT (lower(k) IN {_in(vw.UNSTABLE)} AND {h('unstable', 'k')} < {cfg.drop_unstable_prob})
-      AND NOT (lower(k) IN {_in(vw.OPTIONAL)} AND {h('optional', 'k')} < {cfg.drop_optional_prob})),
+    WHERE NOT (lower(k) IN {_in(vw.UNSTABLE)} AND {h('unstable', 'k')} < {do['unstable']})
+      AND NOT (lower(k) IN {_in(vw.OPTIONAL)} AND {h('optional', 'k')} < {do['optional']})),
   kept_request AS (SELECT id, view, {r('order', 'k')} AS o, {new_key(r)} AS nk,
-    CASE WHEN NOT {templated} AND {r('mask', 'k')} < {cfg.request_mask_value_prob} THEN '"{cfg.mask_token}"'
+    CASE WHEN NOT {templated} AND {r('mask', 'k')} < {do['parameter']} THEN '"{vw.MASK}"'
       {keep_t} ELSE to_json(v)::VARCHAR END AS nv FROM ({unnested('request')}) c),
   view_headers AS ({_rebuilt('c.view', 'headers', h, 'headers', 'c.headers')}),
   view_request AS ({_rebuilt('c.view', 'request', r, 'request',
-                             'c.request' if cfg.preserve_template else unmask('c.request'))})
+                             unmask('c.request') if do['template'] else 'c.request')})
   """
 
 
-for _name in vw.CONFIGS:
+for _name in vw.STRENGTHS:
     def _aug(spark, sf, name=_name):
         pool = vw.view_pool(corpus(spark, sf), 1, name)
         return pool.select("id", "headers", "request")
