@@ -22,6 +22,7 @@ _TOLERANT = """coalesce(CASE WHEN json_valid(headers) AND json_type(headers) = '
 _UA = f"""ua AS (SELECT id, y, source, headers, request, coalesce(m['User-Agent'], m['user-agent'], m['USER-AGENT'],
     list_filter(map_entries(m), lambda e: lower(e.key) = 'user-agent')[1].value, '') AS user_agent
   FROM (SELECT *, {_TOLERANT} AS m FROM corpus))"""
+# The three patterns.
 _FLAGS = "@" + _UA + """, flags AS (SELECT *, regexp_matches(request, '\\{\\{.*?\\}\\}') AS has_template,
     regexp_matches(user_agent, '(?i)facebookexternalhit|googlebot|bingbot|bot\\b|crawler|spider|slurp|bingpreview|headless')
       AS has_crawler_ua,
