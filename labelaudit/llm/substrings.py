@@ -35,8 +35,6 @@ MANY = 2000
 SHALLOW = 40                 # bytes sorted by quicksort; longer common prefixes go to tries
 TOGETHER = 100_000           # strings sorted together, whole keys
 LAST_DOC = (1 << 63) - 1     # order of a null id
-TAG_BITS = 12                # rows of one id but another text are told apart by a tag of so many bits
-TAG = 1 << TAG_BITS
 
 
 # --- anchors ---
@@ -86,7 +84,7 @@ def anchor_rows(documents: DataFrame) -> DataFrame:
     """(key, context, doc, tag, first, back, more) for documents (doc, tag, text), dealt by key. Contexts that a lesser
     document of the same batch has are settled at once: their merged stretches are rows with back -1
     and the end in `more`."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "context", "doc", "place")])
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "context", "doc", "tag", "place")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Powers(BASE)
@@ -103,8 +101,8 @@ def anchor_rows(documents: DataFrame) -> DataFrame:
             later = least < docs[row]
             # place: first, back and more in one number; a settled stretch is -1 - first, its end the context
             here = ~later
-            out = [[key[here].view("int64"), context[here].view("int64"), docs[row[here]],
-                    (((first[here] * TAG + tags[row[here]]) * SPAN + back[here]) * SPAN + more[here])]]
+            out = [[key[here].view("int64"), context[here].view("int64"), docs[row[here]], tags[row[here]],
+                    (first[here] * SPAN + back[here]) * SPAN + more[here]]]
             gone = np.flatnonzero(later)
             gone = gone[np.argsort(row[gone], kind="stable")]
             edges = np.flatnonzero(np.diff(row[gone])) + 1
@@ -112,15 +110,14 @@ def anchor_rows(documents: DataFrame) -> DataFrame:
                 begin, end = merge(first[some], first[some] + more[some] + LENGTH)
                 k = row[some[0]]
                 spread = mix(begin.astype("uint64") + mix(np.full(len(begin), docs[k]).astype("uint64")))
-                out.append([spread.view("int64"), end, np.full(len(begin), docs[k]), -1 - (begin * TAG + tags[k])])
+                out.append([spread.view("int64"), end, np.full(len(begin), docs[k]), np.full(len(begin), tags[k]), -1 - begin])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("int64")) for x in zip(*out)], names=schema.names)
 
-    # the four numbers are moved, once: both groupings below lie inside that of the keys
+    # the five numbers are moved, once: both groupings below lie inside that of the keys
     rows = documents.mapInArrow(run, schema).repartition("key")
     place, settled = F.col("place"), F.col("place") < 0
-    code = F.when(settled, -1 - place).otherwise(F.expr(f"place div {SPAN * SPAN}"))
     return rows.select(
-        "key", "context", "doc", F.pmod(code, F.lit(TAG)).cast("int").alias("tag"), F.shiftright(code, TAG_BITS).alias("first"),
+        "key", "context", "doc", "tag", F.when(settled, -1 - place).otherwise(F.expr(f"place div {SPAN * SPAN}")).alias("first"),
         F.when(settled, -1).otherwise(F.pmod(F.expr(f"place div {SPAN}"), F.lit(SPAN))).cast("int").alias("back"),
         F.when(settled, F.col("context")).otherwise(F.pmod(place, F.lit(SPAN))).alias("more"))
 
@@ -306,7 +303,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     another; null ids come after all others, none before another."""
     tagged = documents.select(
         "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_DOC)).alias("doc"),
-        F.pmod(F.xxhash64("text"), F.lit(TAG)).cast("int").alias("tag"), "text")
+        F.xxhash64("text").alias("tag"), "text")        # equal rows lose the same bytes
     spans = removed_stretches(tagged.select("doc", "tag", "text"))
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),

@@ -95,3 +95,15 @@ def test_every_string_has_one_anchor():
     begins = sorted((d, f + i) for d, f, m in zip(doc, first, more) for i in range(m + 1))
     assert begins == [(k, i) for k, t in enumerate(texts) for i in range(len(t) - 49)]
     assert (back >= 0).all() and (back < ss.SPAN).all() and (more < ss.SPAN).all()
+
+
+def test_rows_of_one_id_lose_only_their_own_bytes(spark):
+    rng = random.Random(12)
+    words = [f"{c}{k}" for c in "abcdefgh" for k in range(60)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    passage = text(30)
+    docs = [(1, f"{text(9)} {passage} {text(9)}")]
+    for owner in (5, None):
+        docs += [(owner, f"{text(20)} {passage}" if k % 2 else text(50)) for k in range(400)]
+    got_rows = got(spark.createDataFrame(docs, "doc_id long, text string").repartition(6))
+    assert got_rows == brute(docs)
