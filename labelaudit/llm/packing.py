@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import stored
@@ -64,20 +65,22 @@ def pieces(documents: DataFrame, vocabulary: str, ranks: str | None = None, limi
     schema = T.StructType([T.StructField("doc_id", kind), *(T.StructField(n, t) for n, t in (
         ("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())))])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = make_encoder(vocabulary, ranks)
-        for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(encode(text or ""), np.uint32(END)).astype("<u4")
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1)):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END)).astype("<u4")
                 edges = [0, *range((len(ids) - 1) % limit + 1, len(ids) + 1, limit)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    rows.append((doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-            out = pd.DataFrame(rows, columns=schema.names)
-            out["doc_id"] = out["doc_id"].astype(object) if pdf["doc_id"].isna().any() else out["doc_id"]
-            yield out
-
-    cut_up = documents.select("doc_id", "text").mapInPandas(cut, schema)
+                    rows.append(row)
+                    found.append((k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
+            columns = list(zip(*found)) or [()] * 4
+            kinds = pa.int32(), pa.int64(), pa.int64(), pa.int64()
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())),
+                                              *(pa.array(c, t) for c, t in zip(columns, kinds))], names=schema.names)
+
+    cut_up = documents.select("doc_id", "text").mapInArrow(cut, schema)
     return stored(cut_up.withColumn("lot", F.monotonically_increasing_id()), "pieces")
 
 

@@ -64,3 +64,9 @@ def test_evolution_never_loses_pieces_and_beats_its_start():
         assert sorted(i for b in best for i in b) == list(range(150))
         assert all(sum(lengths[i] for i in b) <= 100 for b in best)
         assert len(best) <= len(start)
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, 2**60 + 3, -2**63, 2**63 - 1, None]
+    docs = spark.createDataFrame([(d, f"text {k}") for k, d in enumerate(ids)], "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id for r in packing.pack(docs, VOCABULARY, RANKS).collect()), key=str) == sorted(ids, key=str)
