@@ -123,7 +123,7 @@ def fingerprint_documents(documents: DataFrame, partitions: int) -> DataFrame:
     Null text is empty. Rows of equal doc_id follow one another by a hash of their content; null ids
     come last. A single document is its own next. One shuffle moves the texts."""
     kind = documents.schema["doc_id"].dataType
-    result = T.StructType([T.StructField("doc_id", kind), *RESULT.fields[1:]])
+    result = T.StructType([T.StructField("doc_id", T.StringType()), *RESULT.fields[1:]])
 
     def visit(_, row, after):
         text, following = row[1] or "", after[1] or ""
@@ -133,6 +133,9 @@ def fingerprint_documents(documents: DataFrame, partitions: int) -> DataFrame:
         return (row[0], len(text), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
                 pack_anchors(own), pack_anchors(other), likeness(own, other), likeness(own, anchors(following)))
 
-    last = F.lit((1 << 63) - 1)        # null ids come last
-    key = F.coalesce(-F.col("doc_id").cast("long"), last)
-    return neighbour_pass(documents.select("doc_id", "text"), key, ["doc_id", "text"], visit, result, partitions, wrap=True)
+    # as text of equal width, so that the least id has a key too; null ids come last
+    back = F.lit((1 << 63) - 1).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)")
+    key = F.coalesce(F.lpad(back.cast("string"), 20, "0"), F.lit("~"))
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")       # pandas would make ids beside a null floats
+    found = neighbour_pass(rows, key, ["doc_id", "text"], visit, result, partitions, wrap=True)
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

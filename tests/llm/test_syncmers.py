@@ -91,3 +91,15 @@ def test_long_texts_keep_all_anchors():
     assert (again[0] == x[0]).all() and (again[1] == x[1]).all()
     wide = np.array([3, 5, 9], "uint32"), np.array([300_000_000, 0, 128], "uint32")
     assert all((p == q).all() for p, q in zip(sm.unpack_anchors(sm.pack_anchors(wide)), wide))
+
+
+def test_extreme_and_large_ids_beside_nulls(spark):
+    ids = [2**63 - 1, 2**60 + 3, 2**60 + 1, 5, -2**63, None]
+    docs = [(d, f"{k} the text of a document with number {k * 77}") for k, d in enumerate(ids)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for parts in (1, 4):
+        got = {r.doc_id: r for r in sm.fingerprint_documents(df, parts).collect()}
+        assert len(got) == len(ids)
+        for (d, text), (_, after) in zip(docs, docs[1:] + docs[:1]):     # descending ids, null last
+            edited = text[:len(text) - len(text) // 2] + after[:len(text) // 2]
+            assert got[d].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
