@@ -296,7 +296,8 @@ def extract(pages: DataFrame, parts: int) -> DataFrame:
     never partners, unless the host has no other path and their queries and lines differ; pages without
     a URL have no partner. All variants are differenced with the same pages: the last row of the path
     (or query) before and the first of the one after. Repeated rows are pages of their own."""
-    result = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), T.StructField("url", T.StringType()),
+    kind = pages.schema["page_id"].dataType
+    result = T.StructType([T.StructField("page_id", T.StringType()), T.StructField("url", T.StringType()),
                            T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def visit(before, row, after):
@@ -318,7 +319,8 @@ def extract(pages: DataFrame, parts: int) -> DataFrame:
         urls = [u if isinstance(u, str) else None for u in urls]
         return pd.Series(["\0".join(x.replace("\0", " ") for x in (*split_url(u), split_query(u))) for u in urls], dtype=object)
 
-    source = pages.select("page_id", "url", "html")
-    key = F.concat_ws("\0", order_key("url"), F.coalesce(F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lit("")))
+    source = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")    # pandas would make ids beside a null floats
+    key = F.concat_ws("\0", order_key("url"), F.coalesce(F.lpad("page_id", 20, "0"), F.lit("")))
     pins = _variants(source.select(key.alias("_key")), parts)
-    return neighbour_pass(source, key, COLUMNS, visit, result, parts, prepare=_parse, pins=pins)
+    found = neighbour_pass(source, key, COLUMNS, visit, result, parts, prepare=_parse, pins=pins)
+    return found.withColumn("page_id", F.col("page_id").cast(kind))

@@ -110,3 +110,9 @@ def test_real_pages(spark, sf, parts):
         blocks = re.sub(r"<[^>]*>", "", re.sub(r"</?(p|h1)[^>]*>", "\0", body.replace("<br>", " "))).split("\0")
         want = "\n\n".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
         assert (got[r.page_id].text, got[r.page_id].n_chars, got[r.page_id].url) == (want, len(want), r.url)
+
+
+def test_large_ids_beside_nulls(spark):
+    ids = [2**60 + 1, 2**60 + 3, -2**63, None]
+    df = spark.createDataFrame([(d, "http://h.x/a", f"<p>{d}</p>") for d in ids], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in pg.extract(df, 2).collect()} == {d: str(d) for d in ids}
