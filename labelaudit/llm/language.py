@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .texts import mix
@@ -103,9 +104,9 @@ class Model:
 
 def examples(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 11) -> tuple[list[str], pd.DataFrame]:
     """The languages and a bounded sample of examples (lang, draw, idx, n): about `per_language` rows
-    of each language by a hash of the id, each as its whole text and as a short run of its words."""
+    of each language by a hash of id and text (of equal rows one), each as its whole text and as a short run of its words."""
     labelled = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        "doc_id", "text", "lang", (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / (1 << 40)).alias("draw"))
+        "text", "lang", (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / (1 << 40)).alias("draw"))
     counts = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"column 'lang' has more than {MAX_LANGUAGES} values")
@@ -113,8 +114,8 @@ def examples(documents: DataFrame, per_language: int = PER_LANGUAGE, seed: int =
     if not languages:
         return [], pd.DataFrame({"lang": [], "draw": [], "idx": [], "n": []})
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], 1.2 * per_language / r["count"])])
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    sample = (labelled.where(F.col("draw") < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("draw")
+    sample = (labelled.where(F.col("draw") < share[F.col("lang")]).dropDuplicates(["lang", "draw"])
               .withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,15 +215,16 @@ def identify(documents: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = T.StructType([*(T.StructField(f"k{i}", documents.schema[c].dataType) for i, c in enumerate(keep)),
                            T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(**shared.value)
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else None for t in pdf[body]]
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(body)).to_pylist()
             for part in chunks(texts):
                 names, top = model.predict(texts[part])
-                yield pdf.iloc[part].drop(columns=extra).assign(lang_pred=names, score=top)
+                kept = batch.slice(part.start, part.stop - part.start).columns[:len(keep)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(top, pa.float64())], names=schema.names)
 
-    return inputs.mapInPandas(run, schema).toDF(*out_names)
+    return inputs.mapInArrow(run, schema).toDF(*out_names)
 
 
 def identify_documents(documents: DataFrame) -> DataFrame:

@@ -53,3 +53,14 @@ def test_chunks_cover_everything():
     texts = ["a" * 10, None, "b" * 3_000_000, "", "c"]
     parts = list(lg.chunks(texts))
     assert [k for p in parts for k in range(p.start, p.stop)] == list(range(5))
+
+
+def test_null_ids_are_learned_from_and_large_ids_kept(spark):
+    said = {"en": "the old house by the river was sold again this year", "de": "das alte haus am fluss wurde dieses jahr wieder verkauft"}
+    rows = [(None, f"{said[lang]} {k}", lang) for k in range(300) for lang in said] + [(None, said["en"], "en")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    right = [r.lang == r.lang_pred for r in lg.identify(docs, lg.fit(docs), ["lang"]).collect()]
+    assert sum(right) > 0.97 * len(rows)
+    ids = [2**60 + 1, 2**60 + 3, -2**63, None]
+    few = spark.createDataFrame([(d, said["en"], "en") for d in ids], "doc_id long, text string, lang string").coalesce(1)
+    assert sorted((r.doc_id for r in lg.identify_documents(few).collect()), key=str) == sorted(ids, key=str)
