@@ -100,7 +100,7 @@ class Benchmark:
         words, first = word_hashes(data, offsets, Powers(BASE))
         hashes, owner, _ = shingle_hashes(words, first)
         counts = np.diff(first)
-        self.shingles = [hashes[owner == k] for k in range(len(texts))]
+        self.shingles = np.split(hashes, np.searchsorted(owner, np.arange(1, len(texts))))
         self.known = np.unique(hashes)
         self.lut = np.zeros(LUT, bool)
         self.lut[hashes % np.uint64(LUT)] = True
