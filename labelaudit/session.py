@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # the shuffle files of a query go when it ends, not when the driver collects its garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 
