@@ -1,23 +1,11 @@
-"""Connected components of links, and the release of finished shuffles."""
+"""Connected components of links."""
 from __future__ import annotations
 
-import gc
-import time
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import stored
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of frames that nobody holds any more; otherwise
-    they stay until the driver happens to collect its garbage. Twice, as the listeners let go late."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

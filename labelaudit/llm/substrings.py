@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..session import stored
-from .components import release
 from .syncmers import _sliding_min
 from .texts import BASE, Powers, chunks, mix, raw
 
@@ -276,13 +275,11 @@ def contested(kept: DataFrame, documents: DataFrame) -> DataFrame:
 
 def removed_stretches(documents: DataFrame) -> DataFrame:
     """(doc, tag, spans array of (first, end)) for documents (doc, tag, text)."""
-    spark = documents.sparkSession
     by_key, by_context = Window.partitionBy("key"), Window.partitionBy("key", "context")
     rows = anchor_rows(documents).withColumn("least", F.min(F.when(F.col("back") >= 0, F.col("doc"))).over(by_context))
     own = F.when((F.col("back") >= 0) & (F.col("doc") == F.col("least")), F.col("doc"))
     rows = rows.withColumns({"low": F.min(own).over(by_key), "high": F.max(own).over(by_key)})
     kept = stored(rows.where("back < 0 OR least < doc OR low < high").drop("low", "high"), "anchors")
-    release(spark)
     whole = kept.where("back < 0 OR least < doc").select(
         "doc", "tag", "first", F.when(F.col("back") < 0, F.col("more")).otherwise(F.col("first") + F.col("more") + LENGTH).alias("end"))
     masks = contested(kept, documents)
@@ -291,7 +288,6 @@ def removed_stretches(documents: DataFrame) -> DataFrame:
              .select("doc", "tag", (F.col("first") + F.col("at")).alias("first"), (F.col("first") + F.col("at") + LENGTH).alias("end")))
     found = stored(whole.unionByName(parts).groupBy("doc", "tag").agg(
         F.collect_list(F.struct("first", "end")).alias("spans")), "stretches")
-    release(spark)
     return found
 
 
