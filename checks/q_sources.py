@@ -1,7 +1,9 @@
 """S1-S13, P1-P5, P10, P11, P17, J1, J2, A1, W1, W4, U1, U2."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from labelaudit.functions import jsontext as js
 from labelaudit.functions.text import cut, datetime_text, slug
@@ -170,14 +172,18 @@ def _(spark, sf):
 @register("export_manifest", sql("requests sources", """@grid AS (SELECT s.id, s.name, g.label_group, g.decision
     FROM sources s, (VALUES ('bot','bot'), ('unsafe','offer'), ('safe','safe')) g(label_group, decision)
     WHERE s.active)
-  SELECT id AS traffic_source_id, name AS traffic_source_name, label_group, decision AS decisions,
+  SELECT 'traffic_source' AS scope, '2024-01-01 00:00:00' AS start_inclusive, NULL::VARCHAR AS end_exclusive,
+    id AS traffic_source_id, name AS traffic_source_name, label_group, decision AS decisions,
     least(40, (SELECT count(*) FROM requests r WHERE r.traffic_source_id = grid.id
-      AND r.decision = grid.decision AND NOT duplicated)) AS rows FROM grid"""))
+      AND r.decision = grid.decision AND NOT duplicated AND datetime >= '2024-01-01')) AS rows,
+    'datasets/traffic_source=' || replace(lower(name), '_', '-') || '/label_group=' || label_group AS path FROM grid"""))
 def _(spark, sf):
-    active = ts.find_all(sources(spark, sf))
-    grouped = ex.grouped_requests(requests(spark, sf), active, limit_per_group=40)
-    listed = ex.manifest(grouped, active, write_empty=True)
-    return listed.withColumn("decisions", F.array_join("decisions", ","))
+    root, active = scratch_path(spark, "export"), ts.find_all(sources(spark, sf))
+    ex.export(requests(spark, sf), active, root, limit_per_group=40, start="2024-01-01 00:00:00", write_empty=True)
+    written = ex.read_manifest(spark, root)
+    return written.select(
+        "scope", "interval.*", "traffic_source_id", "traffic_source_name", "label_group",
+        F.array_join("decisions", ",").alias("decisions"), "rows", F.replace("path", F.lit(f"{root}/"), F.lit("")).alias("path"))
 
 
 @register("load_labelled", sql("shaped sources", f"""SELECT headers, request,
@@ -190,7 +196,34 @@ def _(spark, sf):
                                json_lines=True).select("headers", "request", "y")
 
 
-@register("load_source", sql("shaped sources", """SELECT headers, request,
+# a source for each layout of dump names, and one without an unsafe dump
+_LAYOUTS = {"nation-7": "{s}-{g}.json", "nation-8": "{s}-{g}-2024-07.json", "nation-9": "{s}/{s}-{g}.json", "nation-12": "{s}/{s}-{g}-2.json"}
+
+
+def _dumps(spark, sf):
+    """Two folders of dumps, with names that are no plain words."""
+    root, _ = _exported(spark, sf)
+    folders = [f"{root}/dumps.v1+x", f"{root}/raw dumps/raw"]
+    for k, (source, layout) in enumerate([*_LAYOUTS.items(), ("nation-11", "{s}-{g}.json")]):
+        for group in ("bot", "unsafe") if source in _LAYOUTS else ("bot",):
+            rows = spark.read.schema(dumps.ITEM_SCHEMA).json(f"{root}/datasets/traffic_source={source}/label_group={group}")
+            rows.write.json(f"{folders[k % 2]}/{layout.format(s=source, g=group)}")
+    return folders
+
+
+_NAMED = "s.name IN ('NATION_7', 'NATION_8', 'NATION_9', 'NATION_12') AND s.active"
+
+
+@register("load_source", sql("shaped sources", f"""SELECT replace(lower(s.name), '_', '-') AS source, headers, request,
+  CAST(decision = 'bot' AS INTEGER) AS y FROM shaped JOIN sources s ON s.id = traffic_source_id
+  WHERE decision IN ('bot', 'offer') AND NOT duplicated AND {_NAMED}"""))
+def _(spark, sf):
+    folders = _dumps(spark, sf)
+    return reduce(DataFrame.unionByName, [
+        dumps.load_source(spark, s, folders, json_lines=True).select(F.lit(s).alias("source"), "headers", "request", "y") for s in _LAYOUTS])
+
+
+@register("load_exported_source", sql("shaped sources", """SELECT headers, request,
   CAST(decision = 'bot' AS INTEGER) AS y FROM shaped JOIN sources s ON s.id = traffic_source_id
   WHERE decision IN ('bot', 'offer') AND NOT duplicated AND s.name = 'NATION_7' AND s.active"""))
 def _(spark, sf):
@@ -198,7 +231,12 @@ def _(spark, sf):
     return dumps.load_export(spark, root, "nation-7").select("headers", "request", "y")
 
 
-@register("list_sources", sql("requests sources", """SELECT DISTINCT replace(lower(s.name), '_', '-') AS source
+@register("list_sources", sql("sources", f"SELECT replace(lower(s.name), '_', '-') AS source FROM sources s WHERE {_NAMED}"))
+def _(spark, sf):
+    return dumps.list_sources(spark, _dumps(spark, sf))
+
+
+@register("list_exported_sources", sql("requests sources", """SELECT DISTINCT replace(lower(s.name), '_', '-') AS source
   FROM sources s WHERE s.active
   AND EXISTS (SELECT 1 FROM requests WHERE traffic_source_id = s.id AND decision = 'bot' AND NOT duplicated)
   AND EXISTS (SELECT 1 FROM requests WHERE traffic_source_id = s.id AND decision = 'offer' AND NOT duplicated)"""))

@@ -1,6 +1,8 @@
 """JSON dumps: one file (or folder) per source and label group."""
 from __future__ import annotations
 
+import posixpath
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -23,27 +25,40 @@ def load_labelled(spark: SparkSession, unsafe, bots, json_lines: bool = False) -
             .unionByName(read_items(spark, bots, json_lines).withColumn("y", F.lit(1))))
 
 
+def _below(path, folder: str):
+    """The part of a listed path below `folder`, which may have a scheme or be relative (then to the
+    working directory, or on other file systems to the user's folder)."""
+    bare = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)"
+    plain = F.regexp_replace(path, bare, "")
+    root = posixpath.normpath(re.sub(bare, "", folder))
+    found = F.when(plain.startswith(f"{posixpath.abspath(root).rstrip('/')}/"), F.lit(len(posixpath.abspath(root).rstrip("/")) + 2))
+    if not root.startswith("/"):
+        found = found.otherwise(F.locate(f"/{root}/", plain) + len(root) + 2)
+    return F.substr(plain, found)
+
+
 def dump_files(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
-    """(dir_rank, path, parent, name) of the JSON files one or two levels deep.
-    Only file names are read."""
+    """(dir_rank, path, parent, name) of the JSON dumps one or two levels deep: files, or folders of
+    files as Spark writes them. Only file names are read; `path` is the dump's as Spark lists it."""
     found = None
     for rank, folder in enumerate(directories):
+        parts = F.split(_below(F.col("path"), folder), "/")
+        flat = parts[0].endswith(".json")
         listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.json")
-                   .option("recursiveFileLookup", True).load(folder).select("path"))
-        inner = F.element_at(F.split("path", F.lit(folder.rstrip("/").split("/")[-1] + "/")), -1)
-        listing = listing.select(
-            F.lit(rank).alias("dir_rank"), "path", F.split(inner, "/").alias("parts")).where(
-            F.size("parts") <= 2).select(
-            "dir_rank", "path",
-            F.when(F.size("parts") == 2, F.col("parts")[0]).alias("parent"),
-            F.element_at("parts", -1).alias("name"))
+                   .option("recursiveFileLookup", True).load(folder).select("path", parts.alias("parts"), flat.alias("flat")))
+        name = F.when(F.col("flat"), F.col("parts")[0]).otherwise(F.get("parts", F.lit(1)))
+        inside = F.size("parts") - F.when(F.col("flat"), 1).otherwise(2)        # 1: a file of a folder
+        path = F.expr("substr(path, 1, length(path) - if(inside > 0, 1 + length(substring_index(path, '/', -1)), 0))")
+        listing = (listing.withColumns({"name": name, "inside": inside}).where("name LIKE '%.json' AND inside BETWEEN 0 AND 1")
+                   .select(F.lit(rank).alias("dir_rank"), path.alias("path"),
+                           F.when(~F.col("flat"), F.col("parts")[0]).alias("parent"), "name").distinct())
         found = listing if found is None else found.unionByName(listing)
     return found
 
 
 def find_dump(spark: SparkSession, directories: Sequence[str], source: str, group: str) -> str:
-    """First match: per directory the flat file, a dated flat file, then the same
-    in the source's own folder; dated files in name order."""
+    """First match: per directory the flat dump, a dated flat dump, then the same
+    in the source's own folder; dated ones in name order."""
     files = dump_files(spark, directories)
     plain, dated = f"{source}-{group}.json", f"{source}-{group}-"
     exact = F.col("name") == plain
@@ -70,8 +85,8 @@ def list_sources(spark: SparkSession, directories: Sequence[str]) -> DataFrame:
     files = dump_files(spark, directories)
 
     def having(group):
-        return files.where(F.col("name").rlike(rf"-{group}(-.*)?\.json$")).select(
-            F.substring_index("name", f"-{group}", 1).alias("source"))
+        named = F.col("name").endswith(f"-{group}.json") | F.col("name").rlike(rf"-{group}-.*\.json$")
+        return files.where(named).select(F.substring_index("name", f"-{group}", 1).alias("source"))
     return having("bot").intersect(having("unsafe")).orderBy("source")
 
 

@@ -85,3 +85,37 @@ def test_a_source_saved_again_is_replaced(spark, tmp_path):
     tables.save_study(every(rows(("a", 5))), root)
     found = {s: sorted(r["value"] for r in tables.load_study(spark, root, s)["summary"].collect()) for s in "ab"}
     assert found == {"a": [5], "b": [3]}
+
+
+@pytest.mark.parametrize("folder", ["dumps.v1+x", "raw", "two words/raw", "src"])
+def test_folder_names_are_no_patterns(spark, tmp_path, monkeypatch, folder):
+    write(tmp_path / folder / "raw" / "raw-bot.json", [{"headers": "b"}])
+    write(tmp_path / folder / "raw" / "raw-unsafe.json", [{"headers": "u"}])
+    write(tmp_path / folder / "deep" / "er" / "x-bot.json", [])
+    write(tmp_path / folder / "deep" / "er" / "x-unsafe.json", [])
+    monkeypatch.chdir(tmp_path)
+    for root in (str(tmp_path / folder), f"file:{tmp_path / folder}/", f"file://{tmp_path / folder}"):
+        assert [r[0] for r in dumps.list_sources(spark, [root]).collect()] == ["raw"]
+        got = dumps.load_source(spark, "raw", [root]).select("headers", "y").collect()
+        assert sorted(map(tuple, got)) == [("b", 1), ("u", 0)]
+
+
+def test_dumps_that_are_folders(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "{}")], "headers string, request string").repartition(2)
+    for name in ("s-bot.json", "s-unsafe.json", "t/t-bot-3.json", "t/t-unsafe-3.json"):
+        rows.unionByName(rows).write.json(str(tmp_path / name))
+    assert [r[0] for r in dumps.list_sources(spark, [str(tmp_path)]).collect()] == ["s", "t"]
+    for source in "st":
+        assert dumps.load_source(spark, source, [str(tmp_path)], json_lines=True).count() == 4
+
+
+def test_manifest_is_one_object(spark, sf, tmp_path):
+    root = str(tmp_path / "out")
+    ex.export(requests(spark, sf), sources(spark, sf), root, limit_per_group=5, start="2024-01-01 00:00:00")
+    text = "".join(p.read_text() for p in (tmp_path / "out" / "manifest").glob("*.json"))
+    found = json.loads(text)
+    assert found["scope"] == "traffic_source"
+    assert found["interval"] == {"start_inclusive": "2024-01-01 00:00:00", "end_exclusive": None}
+    first = found["datasets"][0]
+    assert list(first) == ex.DATASET and first["decisions"] == ["bot"] and first["rows"] <= 5
+    assert spark.read.json(first["path"]).count() == first["rows"]
