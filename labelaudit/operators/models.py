@@ -4,6 +4,10 @@ All take and give DataFrames; vectors are array columns, turned into ML vectors
 only here. Probability columns come back as arrays."""
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import GaussianMixture, KMeans
@@ -16,6 +20,7 @@ from ..session import stored
 from .sampling import stratified_folds
 
 _VEC = "ml_vector"
+FOREST_ROWS = 200_000        # rows a forest is fitted on; every row is scored
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -35,9 +40,19 @@ def fit_logreg(train: DataFrame, vec: str, label: str = "y", max_iter: int = 200
                               regParam=1.0 / n, standardization=False, tol=1e-6).fit(_vectors(train, vec))
 
 
+def fit_rows(train: DataFrame, most: int | None = FOREST_ROWS, seed: int = 42) -> DataFrame:
+    """`train`, or if it has more than `most` rows a sample of about so many by a hash of the row, which
+    leaves every class its share."""
+    if most is None or (n := train.count()) <= most:
+        return train
+    return train.where(F.pmod(F.xxhash64(F.lit(seed), *train.columns), F.lit(1 << 40)) < F.lit((most << 40) // n))
+
+
 def fit_forest(train: DataFrame, vec: str, label: str = "y", trees: int = 200, seed: int = 42,
-               max_depth: int = 30):
-    """Random forest; each row remembers its tree nodes, which deep trees need."""
+               max_depth: int = 30, most: int | None = FOREST_ROWS):
+    """Random forest; each row remembers its tree nodes, which deep trees need. Trees of that depth grow
+    with the rows and lie in the driver, so a forest is fitted on `most` rows or so (None: all)."""
+    train = fit_rows(train, most, seed)
     return RandomForestClassifier(featuresCol=_VEC, labelCol=label, numTrees=trees, seed=seed,
                                   maxDepth=max_depth, featureSubsetStrategy="sqrt",
                                   cacheNodeIds=True, maxMemoryInMB=512).fit(_vectors(train, vec))
@@ -117,14 +132,18 @@ class SoftClusters:
 
 
 def oof_probabilities(df: DataFrame, vec: str, label: str = "y", seed: int = 42, folds: int = 4,
-                      trees: int = 150, max_depth: int = 30, id_col: str = "id") -> DataFrame:
-    """(id, label, p): each row scored by a forest that never saw its fold. Folds
-    run in turn; the trees of a forest are grown in parallel on the cluster."""
+                      trees: int = 150, max_depth: int = 30, id_col: str = "id",
+                      most: int | None = FOREST_ROWS) -> DataFrame:
+    """(id, label, p): each row scored by a forest that never saw its fold. The folds' forests are
+    fitted at the same time, each on `most` rows or so of the other folds."""
     dealt = stratified_folds(df.select(id_col, label, vec), folds, seed, label, id_col)
     dealt = stored(dealt, "folds")
-    out = None
-    for fold in range(folds):
-        model = fit_forest(dealt.where(F.col("fold") != fold), vec, label, trees, seed, max_depth)
-        part = _scored(model, dealt.where(F.col("fold") == fold), vec, "p").select(id_col, label, "p")
-        out = part if out is None else out.unionByName(part)
-    return out
+
+    def fit(fold: int):
+        return fit_forest(dealt.where(F.col("fold") != fold), vec, label, trees, seed, max_depth, most)
+
+    with ThreadPoolExecutor(folds) as pool:
+        models = list(pool.map(inheritable_thread_target(dealt.sparkSession)(fit), range(folds)))
+    parts = [_scored(model, dealt.where(F.col("fold") == fold), vec, "p").select(id_col, label, "p")
+             for fold, model in enumerate(models)]
+    return reduce(DataFrame.unionByName, parts)

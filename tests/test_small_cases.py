@@ -273,6 +273,17 @@ def test_models_tell_blobs_apart(spark):
     assert soft.where(F.abs(F.col("cluster_p")[0] + F.col("cluster_p")[1] - 1) > 1e-9).count() == 0
 
 
+def test_forests_are_fitted_on_a_bounded_sample_and_score_every_row(spark):
+    df = spark.range(20_000).selectExpr("id", "int(id % 4 = 0) AS y", "array(double(id % 4), double(id % 7)) AS v")
+    some = md.fit_rows(df, 2_000, 1)
+    n, share = some.agg(F.count("*"), F.avg("y")).first()
+    assert 1_800 < n < 2_200 and abs(share - 0.25) < 0.04
+    assert some.select("id").collect() == md.fit_rows(df.repartition(7), 2_000, 1).orderBy("id").select("id").collect()
+    assert md.fit_rows(df, 20_000).count() == md.fit_rows(df, None).count() == 20_000
+    oof = md.oof_probabilities(df, "v", trees=5, max_depth=4, most=2_000)
+    assert oof.count() == 20_000 and oof.where("(p[1] > 0.5) <> (y = 1)").count() == 0
+
+
 def test_draw_is_uniform(spark):
     row = spark.range(20000).select(draw(42, "t", F.col("id")).alias("u")).agg(
         F.avg("u"), F.min("u"), F.max("u")).first()
