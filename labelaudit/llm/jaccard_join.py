@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import stored
 from .components import components
@@ -251,18 +251,30 @@ def _with_elements(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> Dat
     return pairs.join(left, a).join(right, b)
 
 
-def sketched(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> DataFrame:
-    """`pairs` with the sizes n and m of the sets in columns `a` and `b` and the distance of their sketches."""
-    left = elements.select(F.col("set_id").alias(a), F.col("size").alias("n"), F.col("sketch").alias("_x"))
-    right = elements.select(F.col("set_id").alias(b), F.col("size").alias("m"), F.col("sketch").alias("_y"))
+def folded(sketch: str) -> Column:
+    """A sketch an eighth as long: buckets that fall together hold the parity of both, so sets still differ
+    in at least as many shingles as these in bits."""
+    return F.expr(f"transform(sequence(0, {SKETCH // 8 - 1}), i -> "
+                  f"aggregate(slice({sketch}, i * 8 + 1, 8), 0L, (t, x) -> t ^ x))")
+
+
+def sketched(pairs: DataFrame, elements: DataFrame, a: str, b: str, short: bool = False) -> DataFrame:
+    """`pairs` with the sizes n and m of the sets in columns `a` and `b` and the distance of their sketches,
+    or of their `short` ones."""
+    sketch = folded("sketch") if short else F.col("sketch")
+    left = elements.select(F.col("set_id").alias(a), F.col("size").alias("n"), sketch.alias("_x"))
+    right = elements.select(F.col("set_id").alias(b), F.col("size").alias("m"), sketch.alias("_y"))
     apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return pairs.join(left, a).join(right, b).withColumn("apart", apart).drop("_x", "_y")
 
 
-def may_be_similar(pairs: DataFrame) -> DataFrame:
-    """Those of `sketched` pairs that sizes and sketches leave open: similar sets differ in a ninth of
-    their sizes' sum at most."""
-    return pairs.where("100 * least(n, m) >= 80 * greatest(n, m) AND 9 * apart <= n + m").drop("n", "m", "apart")
+def may_be_similar(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and sketches leave open, by short sketches first: similar sets
+    differ in a ninth of their sizes' sum at most."""
+    for short in (True, False):
+        pairs = (sketched(pairs, elements, "a", "b", short)
+                 .where("100 * least(n, m) >= 80 * greatest(n, m) AND 9 * apart <= n + m").select("a", "b"))
+    return pairs
 
 
 def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
@@ -317,7 +329,8 @@ def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of different components among the sets (set_id, component): all that are
     similar, and few others. Two similar sets share one of their first size / 5 + 1 shingles, in any
     order that is the same for all: here rare ones first, by exact counts. A shingle that one set alone
-    has is counted, not joined. Hot shingles come last and are not brought together for counting."""
+    has is counted, not joined. Before the first that they share, similar sets of sizes n and m have so few
+    that 4/9 of n + m can still follow in both; other pairs are not made. Hot shingles come last and are not brought together for counting."""
     sets = stored(elements.select("set_id", "size", "elements").join(far, "set_id"), "far")
     total = sets.agg(F.sum("size")).first()[0] or 0
     rows = sets.select("set_id", "component", "size", F.explode("elements").alias("shingle"))
@@ -329,7 +342,8 @@ def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
     common = cold.unionByName(rows.where(cell.isin(hot)).withColumn("n", F.lit(1 << 62)))
     own = Window.partitionBy("set_id")               # a set's shingles: bounded by its text
     prefix = (common.withColumns({"at": F.row_number().over(own.orderBy("n", "shingle")), "shared": F.count("*").over(own)})
-              .where("at + size - shared <= size div 5 + 1").select("set_id", "component", "size", "shingle"))
+              .withColumn("place", F.expr("at + size - shared")).where("place <= size div 5 + 1")
+              .select("set_id", "component", "size", "place", "shingle"))
     prefix = stored(prefix, "rare")
     mixed = (prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low <> high").select("shingle"))
@@ -337,7 +351,7 @@ def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
     a, b = open_rows.alias("a"), open_rows.alias("b")
     return (a.join(b, F.col("a.shingle") == F.col("b.shingle"))
             .where("""a.set_id < b.set_id AND a.component <> b.component
-                      AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)""")
+                      AND 9 * (1 + least(a.size - a.place, b.size - b.place)) >= 4 * (a.size + b.size)""")
             .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
 
 
@@ -347,7 +361,7 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     stars = stored(groups.where("set_id <> leader").select(
         F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "pairs")
     elements = element_table(documents, groups.select("set_id").distinct())
-    likely = stored(may_be_similar(sketched(stars, elements, "a", "b")), "likely")
+    likely = stored(may_be_similar(stars, elements), "likely")
     first = stored(verified(likely, elements), "verified")
     part = components(first)
     labelled = groups.join(part.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
@@ -369,7 +383,7 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     near = family.where(F.col("apart") <= NEAR * F.col("n")).select("leader", "set_id", "component")
     far = family.where(F.col("apart") >= FAR * F.col("n")).select("set_id", "component").distinct()
     rest = rest.unionByName(rare_shingle_pairs(far, elements)).unionByName(differing_pairs(near, elements)).distinct()
-    likely = stored(may_be_similar(sketched(rest, elements, "a", "b")), "likely")
+    likely = stored(may_be_similar(rest, elements), "likely")
     second = verified(likely, elements)
     links = first.unionByName(second).unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(links)

@@ -108,6 +108,19 @@ def test_sketches_differ_in_no_more_bits_than_sets_in_shingles():
             assert apart <= differ and (apart - differ) % 2 == 0
 
 
+def test_short_sketches_are_no_farther_apart(spark):
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 2000).astype("uint64")
+    sets = [rng.choice(pool, k, replace=False) for k in rng.integers(0, 900, 30)]
+    bits = jj.parity_sketches(np.concatenate(sets), np.array([len(x) for x in sets])).view("int64")
+    df = spark.createDataFrame([(k, len(x), b.tolist()) for k, (x, b) in enumerate(zip(sets, bits))], "set_id long, size int, sketch array<long>")
+    pairs = spark.createDataFrame([(i, j) for i in range(30) for j in range(i)], "a long, b long")
+    short = {(r.a, r.b): r.apart for r in jj.sketched(pairs, df, "a", "b", True).collect()}
+    for r in jj.sketched(pairs, df, "a", "b").collect():
+        assert short[r.a, r.b] <= r.apart <= len(np.setxor1d(sets[r.a], sets[r.b]))
+    assert max(short.values()) > 100
+
+
 # every large group by differences, by rare shingles (with hot ones and without), by both, by all pairs
 @pytest.mark.parametrize("large, near, far, hot", [(1, 1.0, 0.6, 1024), (1, 99, 99, 1024), (1, -1, 0, 1024), (1, -1, 0, 4), (10**9, 1.0, 0.6, 1024)])
 def test_one_large_family_either_way(spark, monkeypatch, large, near, far, hot):
