@@ -215,22 +215,26 @@ def spend(groups: DataFrame) -> DataFrame:
     return looked.join(weight, "set_id").withColumn("leader", best["set_id"]).drop("weight")
 
 
+def _bit() -> Column:
+    return F.pmod("set_id", F.lit(BLOOM)) + 1          # Spark's buckets hold bits 1 to 32768 and so on
+
+
+def id_bits(ids: DataFrame) -> DataFrame:
+    """(bucket, bits) of the ids (set_id): BLOOM bits at most, whatever the data."""
+    return (ids.select(F.bitmap_bucket_number(_bit()).alias("bucket"), F.bitmap_bit_position(_bit()).alias("bit"))
+            .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
 def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(set_id, size, sketch, elements): the shingles of the sets in `wanted` (set_id), stored. A filter of
-    fixed size keeps most others from being moved."""
-    bit = F.pmod("set_id", F.lit(BLOOM)) + 1           # Spark's buckets hold bits 1 to 32768 and so on
-    parts = (wanted.select(F.bitmap_bucket_number(bit).alias("bucket"), F.bitmap_bit_position(bit).alias("bit"))
-             .groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect())
+    """(set_id, size, sketch, elements): the shingles of the sets in `wanted` (set_id) and of some others,
+    stored by the tasks that read the texts. A filter of fixed size keeps most others out. A set that several
+    tasks met has equal rows."""
     bits = np.zeros((BLOOM // 32768, 4096), "uint8")
-    for r in parts:
+    for r in id_bits(wanted).collect():
         bits[r["bucket"] - 1] = np.frombuffer(bytes(r["bits"]), "uint8")
     shared = documents.sparkSession.sparkContext.broadcast(bits.ravel())
     schema = _fields(("set_id", T.LongType()), ("size", T.IntegerType()), ("sketch", T.ArrayType(T.LongType())),
                      ("elements", T.ArrayType(T.LongType())))
-    # Spark's bucket of a bit x > 0 is 1 + (x - 1) / 32768
-    first = wanted.sparkSession.range(1).select(F.bitmap_bucket_number(F.lit(1)), F.bitmap_bit_position(F.lit(1))).first()
-    shift = int(first[1]) == 0
-
     def make(hashes, sizes, ids, batch, seen):
         bits, x = shared.value, ids % BLOOM
         rows = _new(ids, sizes, seen, (bits[x >> 3] >> (x & 7).astype("uint8")) & 1)
@@ -240,14 +244,24 @@ def element_table(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 pa.ListArray.from_arrays(np.arange(0, len(sketches) + 1, SKETCH, dtype="int32"), sketches),
                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype("int32"), picked.view("int64"))]
 
-    found = _each_batch(documents.select("text"), schema, make)
-    return stored(found.join(wanted, "set_id", "left_semi").dropDuplicates(["set_id"]), "elements")
+    return stored(_each_batch(documents.select("text"), schema, make), "elements")
+
+
+def once(elements: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """One row per set of `elements`. With `ids` (set_id) most other sets go before any row is moved."""
+    if ids is not None:
+        byte = F.conv(F.hex(F.expr("substring(bits, int(place div 8) + 1, 1)")), 16, 10).cast("int")
+        elements = (elements.withColumns({"bucket": F.bitmap_bucket_number(_bit()), "place": F.bitmap_bit_position(_bit())})
+                    .join(F.broadcast(id_bits(ids)), "bucket")
+                    .where(byte.bitwiseAND(F.expr("shiftleft(1, int(place % 8))")) > 0).select(*elements.columns))
+    return elements.dropDuplicates(["set_id"])
 
 
 def _with_elements(pairs: DataFrame, elements: DataFrame, a: str, b: str) -> DataFrame:
-    """`pairs` with the shingles x of the set in column `a` and y of that in `b`."""
-    left = elements.select(F.col("set_id").alias(a), F.col("elements").alias("x"))
-    right = elements.select(F.col("set_id").alias(b), F.col("elements").alias("y"))
+    """`pairs`, a stored table, with the shingles x of the set in column `a` and y of that in `b`."""
+    sets = elements.select("set_id", "elements")
+    left = once(sets, pairs.select(F.col(a).alias("set_id"))).toDF(a, "x")
+    right = once(sets, pairs.select(F.col(b).alias("set_id"))).toDF(b, "y")
     return pairs.join(left, a).join(right, b)
 
 
@@ -259,21 +273,21 @@ def folded(sketch: str) -> Column:
 
 
 def sketched(pairs: DataFrame, elements: DataFrame, a: str, b: str, short: bool = False) -> DataFrame:
-    """`pairs` with the sizes n and m of the sets in columns `a` and `b` and the distance of their sketches,
-    or of their `short` ones."""
-    sketch = folded("sketch") if short else F.col("sketch")
-    left = elements.select(F.col("set_id").alias(a), F.col("size").alias("n"), sketch.alias("_x"))
-    right = elements.select(F.col("set_id").alias(b), F.col("size").alias("m"), sketch.alias("_y"))
+    """`pairs`, a stored table, with the sizes n and m of the sets in columns `a` and `b` and the distance of
+    their sketches, or of their `short` ones."""
+    sets = elements.select("set_id", "size", (folded("sketch") if short else F.col("sketch")).alias("sketch"))
+    left = once(sets, pairs.select(F.col(a).alias("set_id"))).toDF(a, "n", "_x")
+    right = once(sets, pairs.select(F.col(b).alias("set_id"))).toDF(b, "m", "_y")
     apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
     return pairs.join(left, a).join(right, b).withColumn("apart", apart).drop("_x", "_y")
 
 
 def may_be_similar(pairs: DataFrame, elements: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and sketches leave open, by short sketches first: similar sets
-    differ in a ninth of their sizes' sum at most."""
+    """Those of the pairs (a, b), a stored table, that sizes and sketches leave open, stored; by short sketches
+    first: similar sets differ in a ninth of their sizes' sum at most."""
     for short in (True, False):
-        pairs = (sketched(pairs, elements, "a", "b", short)
-                 .where("100 * least(n, m) >= 80 * greatest(n, m) AND 9 * apart <= n + m").select("a", "b"))
+        pairs = stored(sketched(pairs, elements, "a", "b", short)
+                       .where("100 * least(n, m) >= 80 * greatest(n, m) AND 9 * apart <= n + m").select("a", "b"), "likely")
     return pairs
 
 
@@ -331,9 +345,9 @@ def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
     order that is the same for all: here rare ones first, by exact counts. A shingle that one set alone
     has is counted, not joined. Before the first that they share, similar sets of sizes n and m have so few
     that 4/9 of n + m can still follow in both; other pairs are not made. Hot shingles come last and are not brought together for counting."""
-    sets = stored(elements.select("set_id", "size", "elements").join(far, "set_id"), "far")
+    sets = stored(once(elements.select("set_id", "size", "elements"), far.select("set_id")).join(far, "set_id"), "far")
     total = sets.agg(F.sum("size")).first()[0] or 0
-    rows = sets.select("set_id", "component", "size", F.explode("elements").alias("shingle"))
+    rows = sets.select("set_id", F.explode("elements").alias("shingle"))
     cell = F.pmod("shingle", F.lit(COUNTS))
     hot = [r["cell"] for r in rows.groupBy(cell.alias("cell")).count()          # fewer than HOT_SHARE
            .where(F.col("count") > max(HOT_SHARE, total // HOT_SHARE)).collect()]
@@ -342,6 +356,7 @@ def rare_shingle_pairs(far: DataFrame, elements: DataFrame) -> DataFrame:
     common = cold.unionByName(rows.where(cell.isin(hot)).withColumn("n", F.lit(1 << 62)))
     own = Window.partitionBy("set_id")               # a set's shingles: bounded by its text
     prefix = (common.withColumns({"at": F.row_number().over(own.orderBy("n", "shingle")), "shared": F.count("*").over(own)})
+              .join(sets.select("set_id", "component", "size"), "set_id")
               .withColumn("place", F.expr("at + size - shared")).where("place <= size div 5 + 1")
               .select("set_id", "component", "size", "place", "shingle"))
     prefix = stored(prefix, "rare")
@@ -361,7 +376,7 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     stars = stored(groups.where("set_id <> leader").select(
         F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")).distinct(), "pairs")
     elements = element_table(documents, groups.select("set_id").distinct())
-    likely = stored(may_be_similar(stars, elements), "likely")
+    likely = may_be_similar(stars, elements)
     first = stored(verified(likely, elements), "verified")
     part = components(first)
     labelled = groups.join(part.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
@@ -378,12 +393,12 @@ def similar_sets(documents: DataFrame) -> DataFrame:
             .select(F.col("a.set_id").alias("a"), F.col("b.set_id").alias("b")))
     # similar sets' distances to their leader differ by a ninth of their sizes' sum at most: if one is
     # beyond NEAR times its size, the other is beyond FAR times its own
-    family = stored(sketched(open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct(),
-                             elements, "set_id", "leader"), "family")
+    many = stored(open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct(), "many")
+    family = stored(sketched(many, elements, "set_id", "leader"), "family")
     near = family.where(F.col("apart") <= NEAR * F.col("n")).select("leader", "set_id", "component")
     far = family.where(F.col("apart") >= FAR * F.col("n")).select("set_id", "component").distinct()
-    rest = rest.unionByName(rare_shingle_pairs(far, elements)).unionByName(differing_pairs(near, elements)).distinct()
-    likely = stored(may_be_similar(rest, elements), "likely")
+    rest = rest.unionByName(rare_shingle_pairs(far, elements)).unionByName(differing_pairs(near, elements))
+    likely = may_be_similar(stored(rest.distinct(), "pairs"), elements)
     second = verified(likely, elements)
     links = first.unionByName(second).unionByName(part.select(F.col("node").alias("a"), F.col("component").alias("b")))
     found = components(links)

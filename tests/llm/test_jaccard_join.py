@@ -162,3 +162,13 @@ def test_components_of_chains_stars_and_hubs(spark):
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}, 200: 200, 201: 200, 202: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sets_are_met_once_and_those_asked_for_stay(spark):
+    ids = [0, 1, -1, 7, 7 + jj.BLOOM, 32767, 32768, 32769, jj.BLOOM - 1, 2 ** 63 - 1, -2 ** 63]
+    table = spark.createDataFrame([(x, [x]) for x in ids + ids], "set_id long, elements array<long>")
+    assert sorted(r.set_id for r in jj.once(table).collect()) == sorted(ids)
+    for x in ids:
+        found = jj.once(table, spark.createDataFrame([(x,), (x,)], "set_id long")).collect()
+        assert sorted((r.set_id, r.elements) for r in found) == sorted(
+            (y, [y]) for y in ids if (y - x) % jj.BLOOM == 0)
