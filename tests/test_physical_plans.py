@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.views import corpus, requests, texts
 from labelaudit.operators import features as ft, ngrams as ng, sampling as sp, views as vw
 from labelaudit.operators.ranking import top_k
+from labelaudit.session import stored
 from labelaudit.sources import requests as rq
 
 
@@ -69,3 +70,10 @@ def test_views_are_projections(spark, sf, tmp_path):
     corpus(spark, sf).write.parquet(path)
     text = plan(vw.view_pool(spark.read.parquet(path), 2))
     assert "Exchange" not in text and "Python" not in text
+
+
+def test_packed_files_are_no_reason_to_broadcast(spark):
+    """A label grid of 3 million rows lies in some MB of files and takes hundreds in memory."""
+    labels = stored(spark.range(0, 120_000, 1, 1).selectExpr("id", "explode(sequence(1, 25)) AS rate", "id % 2 AS y"), "grid")
+    graph = spark.range(0, 5_000_000, 1, 1).selectExpr("id", "id % 25 + 1 AS rate", "id AS nbr_id")
+    assert "BroadcastHashJoin" not in plan(graph.join(labels, ["id", "rate"]))
