@@ -21,9 +21,12 @@ def _parts(spark, sf):
     return rows.where("split = 'train'"), rows.where("split = 'test'")
 
 
+def _metrics(scored):
+    return rounded(classification_metrics(scored.select("id", "y", F.col("p")[1].alias("p"))))
+
+
 def _graded(model, test):
-    scored = md.predict_proba(model, test, "v").select("id", "y", F.col("p")[1].alias("p"))
-    return rounded(classification_metrics(scored))
+    return _metrics(md.predict_proba(model, test, "v"))
 
 
 @register("kmeans")
@@ -56,7 +59,7 @@ def _(spark, sf):
 @register("random_forest")
 def _(spark, sf):
     train, test = _parts(spark, sf)
-    return _graded(md.fit_forest(train, "v"), test)
+    return _metrics(md.forest_proba(train, test, "v"))
 
 
 @register("linear_probe")

@@ -309,3 +309,23 @@ def test_matching_of_many_sparse_labels(spark):
     got = {r["g"]: r["cluster_acc"] for r in cl.cluster_accuracy(table, by=["g"]).collect()}
     right = sum(10 + c for c in range(20))
     assert got == {"a": right / (right + 40), "b": 1.0}
+
+
+def test_large_forests_are_fitted_in_parts(spark, monkeypatch):
+    """No more nodes at a time than allowed; the parts' mean over trees is the answer, repeated ids included."""
+    from labelaudit.operators import models as md
+    df = spark.range(600).selectExpr("id % 500 AS id", "array(sin(id * 7), cos(id * id), sin(id * id * 3)) AS v",
+                                     "cast(sin(id * 7) + cos(id * 5) > 0 AS int) AS y").localCheckpoint()
+    models, real = [], md.fit_forest
+    monkeypatch.setattr(md, "fit_forest", lambda *a, **b: models.append(real(*a, **b)) or models[-1])
+    got = md.forest_proba(df, df, "v", trees=9, max_depth=12, nodes=2_500)
+    assert got.count() == 600 and sum(m.getNumTrees for m in models) == 9 and len(models) > 1
+    assert all(m.totalNumNodes <= 2_500 for m in models)
+    mean = {}
+    for m in models:
+        for r in md.predict_proba(m, df, "v").collect():
+            mean[tuple(r["v"])] = mean.get(tuple(r["v"]), 0) + r["p"][1] * m.getNumTrees / 9
+    assert all(abs(mean[tuple(r["v"])] - r["p"][1]) < 1e-9 for r in got.collect())
+    models.clear()
+    oof = md.oof_probabilities(df, "v", trees=6, max_depth=12, nodes=4_000)
+    assert oof.count() == 600 and len(models) > 4 and max(m.totalNumNodes for m in models) <= 1_000
