@@ -329,3 +329,23 @@ def test_large_forests_are_fitted_in_parts(spark, monkeypatch):
     models.clear()
     oof = md.oof_probabilities(df, "v", trees=6, max_depth=12, nodes=4_000)
     assert oof.count() == 600 and len(models) > 4 and max(m.totalNumNodes for m in models) <= 1_000
+
+
+def test_rare_places_of_rows_get_no_dense_column():
+    from labelaudit.operators.svd import pieces
+    rng = np.random.default_rng(8)
+    rows = [np.unique(np.r_[np.arange(20), rng.integers(20, 5000, int(n))]) for n in rng.integers(0, 40, 1500)] + [np.zeros(0, "int64")]
+    offsets, place = np.cumsum([0, *map(len, rows)]), np.concatenate(rows)
+    value, idf, q = rng.integers(1, 9, len(place)), rng.random(5000) + 1, rng.standard_normal((5000, 6))
+    a = np.zeros((len(rows), 5000))
+    a[np.repeat(np.arange(len(rows)), np.diff(offsets)), place] = value
+    a *= idf
+    a /= np.maximum(np.sqrt((a * a).sum(1, keepdims=True)), 1e-300)
+    total, seen = np.zeros((5000, 6)), 0
+    for first, last, piece in pieces(offsets, place, value, 5000, idf):
+        assert piece.block.shape[1] <= 20
+        y = piece.times(q)
+        assert np.allclose(y, a[first:last] @ q, atol=1e-12)
+        piece.add_back(y, total)
+        seen += last - first
+    assert seen == len(rows) and np.allclose(total, a.T @ (a @ q), atol=1e-10)
