@@ -130,3 +130,24 @@ def test_tiles_send_fewer_vectors(spark, monkeypatch):
         got[tile] = found(knn.knn_graph(df, 5, cell_rows=64, block_rows=8, tile=tile))
     assert got[1] == got[8] == brute(np.arange(512), x, 5, "cosine")
     assert sent[8] < sent[1] / 6
+
+
+def test_a_tile_keeps_no_more_than_the_best_of_each_query():
+    """Sixteen blocks, text ids and ties; what is held does not grow with the blocks met."""
+    import tracemalloc
+    from labelaudit.operators.knn import _meet
+    rng, n, blocks, k = np.random.default_rng(2), 3000, 16, 20
+    points = pd.DataFrame({"v": list(rng.integers(-3, 4, (1600, 6)).astype(float)), "block": np.arange(1600) % blocks,
+                           "members": [np.array([f"m{i}", f"n{i}"], object) for i in range(1600)]})
+    queries = pd.DataFrame({"pid": np.arange(n), "v": list(rng.integers(-3, 4, (n, 6)).astype(float)), "bound": np.inf,
+                            "blocks": [np.arange(blocks)] * n, "rooms": [np.full(blocks, -np.inf)] * n})
+    tracemalloc.start()
+    got = _meet(queries, points, k, "euclidean")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    dist = np.linalg.norm(np.stack(queries["v"])[:, None] - np.stack(points["v"])[None], axis=2)
+    for pid in range(0, n, 97):
+        want = sorted((d, m) for d, ms in zip(dist[pid], points["members"]) for m in ms)[:k + 1]
+        own = got[got["pid"] == pid]
+        assert [(round(d, 9), m) for d, m in sorted(zip(own["dist"], own["nbr_id"]))] == [(round(d, 9), m) for d, m in want]
