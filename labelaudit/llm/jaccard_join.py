@@ -13,7 +13,7 @@ them, which others may find, but looks nobody up by them.
 Sets that share a signature are candidates. Those of a signature are first compared with one of them
 only, its leader, the set that shares most; what that joins into a component needs no further look.
 Candidates of different components come next: in a small group each with each, in a large one by what
-they differ in from the leader. Of two sets that are not both similar to the leader the differences
+they differ in from one leader of all groups that overlap. Of two sets that are not both similar to the leader the differences
 have some shingle in common, and a prefix filter on the differences finds it without a look at all
 pairs. Sets that have little in common with their leader are joined by their own rarest shingles
 instead, each set once. Equal sets are one set throughout.
@@ -299,9 +299,24 @@ def verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
             .where(100 * i >= PERCENT * (n + m - i)).select("a", "b"))
 
 
-def differing_pairs(family: DataFrame, elements: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) among the sets (leader, set_id, component) compared with one leader, of
-    different components: all that are similar, and few others.
+def centred(near: DataFrame) -> DataFrame:
+    """(leader, set_id, component), stored: each set of `near`, a stored table of the same columns, once. Sets
+    that have leaders in common, directly or not, are one family, and the leader of most of them is the leader of all."""
+    part = components(near.select(F.col("leader").alias("a"), F.col("set_id").alias("b"))).withColumnsRenamed(
+        {"node": "set_id", "component": "family"})
+    most = (near.groupBy("leader").agg(F.count("*").alias("n")).join(part.withColumnRenamed("set_id", "leader"), "leader")
+            .groupBy("family").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader")))
+    members = near.select("set_id", "component").distinct().join(part, "set_id")
+    return stored(members.join(most, "family").select("leader", "set_id", "component"), "centred")
+
+
+def differing_pairs(near: DataFrame, elements: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components among the sets (leader, set_id, component) of `near`, a
+    stored table, that have a leader in common: all that are similar, and few others. The sets of `near` were
+    compared with their leader.
+
+    A set may have many leaders, so each is compared with one set of its family only, called the leader
+    below (`centred`); it and that are a pair too, if they were not compared before.
 
     With d shingles of difference from the leader, similar sets a and b have at least
     t = (d(a) + d(b) - (size(a) + size(b)) / 9) / 2 of them in common. For a set that is not similar to
@@ -328,11 +343,17 @@ def differing_pairs(family: DataFrame, elements: DataFrame) -> DataFrame:
                                           "d": d, "at": np.arange(max(0, d - need + 1)), "shingle": delta[order][:max(0, d - need + 1)]}))
             yield pd.concat(rows)
 
+    family = centred(near)
     deltas = (_with_elements(family, elements, "set_id", "leader").select("leader", "set_id", "component", "x", "y")
               .mapInPandas(run, "leader long, set_id long, component long, size int, d int, at int, shingle long"))
     deltas = stored(deltas, "differences")
-    a, b = deltas.alias("a"), deltas.alias("b")
-    return (a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.shingle") == F.col("b.shingle")))
+    fresh = (family.where("set_id <> leader").join(near.select("leader", "set_id"), ["leader", "set_id"], "left_anti")
+             .select(F.least("set_id", "leader").alias("a"), F.greatest("set_id", "leader").alias("b")))
+    mixed = (deltas.groupBy("leader", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low <> high").select("leader", "shingle"))
+    open_rows = deltas.join(mixed, ["leader", "shingle"], "left_semi")
+    a, b = open_rows.alias("a"), open_rows.alias("b")
+    return fresh.unionByName(a.join(b, (F.col("a.leader") == F.col("b.leader")) & (F.col("a.shingle") == F.col("b.shingle")))
             .where("""a.set_id < b.set_id AND a.component <> b.component
                       AND 100 * least(a.size, b.size) >= 80 * greatest(a.size, b.size)
                       AND 2 * least(a.d - a.at, b.d - b.at) >= a.d + b.d - floor((a.size + b.size) / 9)""")
@@ -395,7 +416,7 @@ def similar_sets(documents: DataFrame) -> DataFrame:
     # beyond NEAR times its size, the other is beyond FAR times its own
     many = stored(open_rows.where(F.col("n") > LARGE).select("leader", "set_id", "component").distinct(), "many")
     family = stored(sketched(many, elements, "set_id", "leader"), "family")
-    near = family.where(F.col("apart") <= NEAR * F.col("n")).select("leader", "set_id", "component")
+    near = stored(family.where(F.col("apart") <= NEAR * F.col("n")).select("leader", "set_id", "component"), "near")
     far = family.where(F.col("apart") >= FAR * F.col("n")).select("set_id", "component").distinct()
     rest = rest.unionByName(rare_shingle_pairs(far, elements)).unionByName(differing_pairs(near, elements))
     likely = may_be_similar(stored(rest.distinct(), "pairs"), elements)

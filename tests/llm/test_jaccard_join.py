@@ -139,6 +139,27 @@ def test_one_large_family_either_way(spark, monkeypatch, large, near, far, hot):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jj.near_duplicates(df).collect()) == brute(docs)
 
 
+def test_a_set_of_many_groups_is_compared_with_one_leader(spark, monkeypatch):
+    """Sets of one family share signatures with many leaders; their differences are made once."""
+    made = []
+    keep = jj.stored
+    monkeypatch.setattr(jj, "stored", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    monkeypatch.setattr(jj, "LARGE", 1)
+    rng = random.Random(9)
+    docs = []
+    for k in range(150):
+        copy = [f"b{k}" for k in range(145)]
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.randrange(145)] = f"e{rng.randrange(500)}"
+        docs.append((k, " ".join(copy)))
+    got = jj.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute(docs)
+    by_name = dict(made)
+    leaders = by_name["family"].groupBy("set_id").count().agg({"count": "max"}).first()[0]
+    rows = by_name["differences"].select("set_id", "leader").distinct().groupBy("set_id").count()
+    assert leaders > 1 and rows.agg({"count": "max"}).first()[0] == 1
+
+
 def test_whole_table(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = jj.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()
