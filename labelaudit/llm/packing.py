@@ -11,6 +11,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -54,7 +55,7 @@ def make_encoder(vocabulary: str, ranks: str | None = None):
     def encode(text: str) -> np.ndarray:
         if SPECIAL in text or RARE.search(text):
             return exact(text)
-        return np.array(fast.encode_ordinary(text), "<u4")
+        return np.array(array("I", fast.encode_ordinary(text)), "<u4")
     return encode
 
 
@@ -133,16 +134,16 @@ def crossover(mother: list, father: list, lengths: list, limit: int, rng: random
 def evolve(lengths: list, elders: list, limit: int, rng: random.Random, rounds: int = ROUNDS,
            population: int = POPULATION) -> list:
     """The best packings, best first, after some rounds from `elders` (or from scratch)."""
-    n = len(lengths)
+    n, fewest = len(lengths), max(1, -(-sum(lengths) // limit))
     people = list(elders)
     if not people:
         people.append(best_fit([], list(range(n)), lengths, limit))
-    while len(people) < population:
+    while len(people) < population and min(map(len, people)) > fewest:
         order = sorted(range(n), key=lambda i: -lengths[i] * rng.uniform(0.8, 1.0))
         people.append(best_fit([], order, lengths, limit))
     people.sort(key=lambda p: fitness(p, lengths, limit))
     for _ in range(rounds):
-        if len(people[0]) <= max(1, -(-sum(lengths) // limit)):
+        if len(people[0]) <= fewest:
             break                     # no packing has fewer
         a, b = sorted(rng.sample(range(len(people)), 2))
         for mother, father in ((a, b), (b, a)):

@@ -66,6 +66,18 @@ def test_evolution_never_loses_pieces_and_beats_its_start():
         assert len(best) <= len(start)
 
 
+def test_no_search_once_no_packing_has_fewer(monkeypatch):
+    made, keep = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda *args: made.append(1) or keep(*args))
+    lengths = sorted(([60, 40] * 50), reverse=True)
+    best = packing.evolve(lengths, [], 100, random.Random(2))
+    assert len(best[0]) == 50 and len(made) == 1
+    assert [len(p) for p in packing.evolve(lengths, best, 100, random.Random(3))] == [50] and len(made) == 1
+    hard = sorted([51] * 30 + [34] * 30, reverse=True)          # the bound, 26, cannot be met
+    packing.evolve(hard, [], 100, random.Random(2))
+    assert len(made) > packing.POPULATION
+
+
 def test_large_ids_beside_nulls(spark):
     ids = [2**60 + 1, 2**60 + 3, -2**63, 2**63 - 1, None]
     docs = spark.createDataFrame([(d, f"text {k}") for k, d in enumerate(ids)], "doc_id long, text string").coalesce(1)
