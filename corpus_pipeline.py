@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from labelaudit.llm import decontaminate, jaccard_join, language, line_runs, packing
-from labelaudit.session import configure, stored
+from labelaudit.session import configure, step, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -31,11 +31,15 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of documents linked by similar shingle sets the one of least doc_id (nulls last, of equal ids
     the first row); documents without words are in no group."""
     numbered = stored(docs.withColumn("_lot", F.monotonically_increasing_id()), "numbered")    # a later scan may number otherwise
-    groups = jaccard_join.near_duplicates(numbered.select(F.col("_lot").alias("doc_id"), "text")).where("n_shingles > 0")
-    members = groups.select(F.col("doc_id").alias("_lot"), F.col("component_id").alias("group"))
-    named = members.join(numbered.select("_lot", "doc_id"), "_lot")
-    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_lot")).alias("first"), F.count("*").alias("n"))
-    losers = stored(named.join(first.where("n > 1"), "group").where("_lot <> first._lot").select("_lot"), "losers")
+
+    def later() -> DataFrame:
+        groups = jaccard_join.near_duplicates(numbered.select(F.col("_lot").alias("doc_id"), "text")).where("n_shingles > 0")
+        members = groups.select(F.col("doc_id").alias("_lot"), F.col("component_id").alias("group"))
+        named = members.join(numbered.select("_lot", "doc_id"), "_lot")
+        first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_lot")).alias("first"), F.count("*").alias("n"))
+        return named.join(first.where("n > 1"), "group").where("_lot <> first._lot").select("_lot")
+
+    losers = step(spark, later, "losers")
     return numbered.join(losers, "_lot", "left_anti").select(COLUMNS)
 
 

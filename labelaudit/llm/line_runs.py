@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import stored
+from ..session import step, stored
 
 WORDS = 50
 
@@ -106,7 +106,8 @@ def drop_repeated_lines(documents: DataFrame, least: int = WORDS) -> DataFrame:
     and blank texts have no lines and stay as they are; a text all of whose lines go becomes empty."""
     # stored with the texts, as a later scan may number otherwise
     numbered = stored(documents.withColumn("_lot", F.monotonically_increasing_id()), "numbered")
-    gone = (repeated_lines(numbered.select(F.col("_lot").alias("lot"), "doc_id", "text"), least)
+    texts = numbered.select(F.col("_lot").alias("lot"), "doc_id", "text")
+    gone = (step(documents.sparkSession, lambda: repeated_lines(texts, least), "gone")
             .withColumnsRenamed({"lot": "_lot", "gone": "_gone"}))
     lines = split_lines(F.col("text"))
     cut = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")

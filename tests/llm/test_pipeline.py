@@ -72,3 +72,16 @@ def test_edge_cases(spark, messy, nothing, sf):
 def test_run(spark, sf):
     rows = cp.run(spark, sf)
     assert rows.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and rows.count() > 0
+
+
+def test_tables_of_a_stage_go_when_it_ends(spark, sf, monkeypatch):
+    import os
+
+    from labelaudit import session
+    monkeypatch.setattr(session, "scratch_path", lambda s, name, make=session.scratch_path: made.append(make(s, name)) or made[-1])
+    made = []
+    rows = cp.run(spark, sf).count()
+    named = lambda *names: [p for p in made if os.path.basename(p).split("-")[0] in names]
+    early = named("lines", "ranks", "runs", "signatures", "elements")
+    assert rows > 0 and len(early) > 8 and not any(os.path.exists(p) for p in early)
+    assert all(os.path.exists(p) for p in named("numbered", "gone", "losers", *[name for name, _ in cp.STAGES[:-1]]))
