@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import step, stored
 
 WORDS = 50
+CELLS = 1 << 24              # bits of the filter for documents that lose lines
 
 
 def split_lines(text: Column) -> Column:
@@ -100,18 +101,42 @@ def repeated_lines(documents: DataFrame, least: int = WORDS) -> DataFrame:
     return covered.distinct().groupBy("lot").agg(F.collect_list("line").alias("gone"))
 
 
-def drop_repeated_lines(documents: DataFrame, least: int = WORDS) -> DataFrame:
+def _cell() -> Column:
+    return F.pmod(F.xxhash64("_lot"), F.lit(CELLS)) + 1          # Spark's buckets hold bits 1 to 32768 and so on
+
+
+def with_gone(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    """`numbered` left joined to `gone` (_lot, _gone), a stored table, on _lot. Most texts without a row there are
+    told by a filter of fixed size and are not moved; the few others that pass it meet nothing in the join."""
+    bits = (gone.select(F.bitmap_bucket_number(_cell()).alias("_bucket"), F.bitmap_bit_position(_cell()).alias("_bit"))
+            .groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits")))
+    byte = F.conv(F.hex(F.expr("substring(_bits, int(_bit div 8) + 1, 1)")), 16, 10).cast("int")
+    told = (numbered.withColumns({"_bucket": F.bitmap_bucket_number(_cell()), "_bit": F.bitmap_bit_position(_cell())})
+            .join(F.broadcast(bits), "_bucket", "left"))
+    passes = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, int(_bit % 8))")) > 0, F.lit(False))
+    # merged at every size: a broadcast here would go through the driver, and only while tables are small
+    met = told.where(passes).select(*numbered.columns).join(gone.hint("merge"), "_lot", "left")
+    rest = told.where(~passes).select(*numbered.columns).withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType))
+    return met.unionByName(rest)
+
+
+def drop_repeated_lines(documents: DataFrame, least: int = WORDS, lot: str | None = None) -> DataFrame:
     """`documents` with the later copies of repeated runs cut out of their text, and n_lines and
     n_removed; columns of these names are replaced. Lines left are joined as they were. Null, empty
-    and blank texts have no lines and stay as they are; a text all of whose lines go becomes empty."""
-    # stored with the texts, as a later scan may number otherwise
-    numbered = stored(documents.withColumn("_lot", F.monotonically_increasing_id()), "numbered")
+    and blank texts have no lines and stay as they are; a text all of whose lines go becomes empty.
+
+    `lot` names a column of row numbers, if `documents` is a stored table that has one."""
+    if lot is None:
+        # stored with the texts, as a later scan may number otherwise
+        numbered = stored(documents.withColumn("_lot", F.monotonically_increasing_id()), "numbered")
+    else:
+        numbered = documents.withColumn("_lot", F.col(lot))
     texts = numbered.select(F.col("_lot").alias("lot"), "doc_id", "text")
     gone = (step(documents.sparkSession, lambda: repeated_lines(texts, least), "gone")
             .withColumnsRenamed({"lot": "_lot", "gone": "_gone"}))
     lines = split_lines(F.col("text"))
     cut = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return numbered.join(gone, "_lot", "left").withColumns({
+    return with_gone(numbered, gone).withColumns({
         "n_lines": F.when(F.col("text").rlike(r"\S"), F.size(lines)).otherwise(0).cast("long"),
         "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
         "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(cut)}).drop("_gone", "_lot")

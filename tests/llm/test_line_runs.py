@@ -2,6 +2,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from labelaudit.llm import line_runs as lr
 
 
@@ -61,3 +63,15 @@ def test_real_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text.count("\n") < 150]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     assert got(df, docs, 50) == sorted(brute(docs, 50), key=str)
+
+
+def test_texts_that_lose_nothing_are_not_moved(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("_lot"), F.repeat(F.lit("some words "), 500).alias("text"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    spark.createDataFrame([(3, [0]), (7, [1, 2])], "_lot long, _gone array<int>").write.parquet(str(tmp_path / "gone"))
+    found = lr.with_gone(*(spark.read.parquet(str(tmp_path / name)) for name in ("rows", "gone")))
+    got = {r._lot: r._gone for r in found.select("_lot", "_gone").collect()}
+    assert found.count() == 400 and len(got) == 400 and {k: v for k, v in got.items() if v} == {3: [0], 7: [1, 2]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the sides of the join move; the texts that lose nothing reach the union as they are read
+    assert "Union" in plan and plan.count("Exchange hashpartitioning(_lot") == 2
