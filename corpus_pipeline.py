@@ -27,28 +27,33 @@ def no_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with what tells rows apart in every scan, so that no numbered copy is stored: the id, nulls last, and
+    a hash of the text. Rows that it does not tell apart have equal texts."""
+    return docs.withColumn("_lot", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash")))
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by similar shingle sets the one of least doc_id (nulls last, of equal ids
-    the first row); documents without words are in no group."""
-    numbered = stored(docs.withColumn("_lot", F.monotonically_increasing_id()), "numbered")    # a later scan may number otherwise
+    """Of documents linked by similar shingle sets the one of least doc_id (nulls last, of equal ids the
+    one of least text hash, of equal texts one row); documents without words are in no group."""
+    rows = keyed(docs)
 
     def later() -> DataFrame:
-        groups = jaccard_join.near_duplicates(numbered.select(F.col("_lot").alias("doc_id"), "text")).where("n_shingles > 0")
-        members = groups.select(F.col("doc_id").alias("_lot"), F.col("component_id").alias("group"))
-        named = members.join(numbered.select("_lot", "doc_id"), "_lot")
-        first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_lot")).alias("first"), F.count("*").alias("n"))
-        return named.join(first.where("n > 1"), "group").where("_lot <> first._lot").select("_lot")
+        groups = jaccard_join.near_duplicates(rows.select(F.col("_lot").alias("doc_id"), "text")).where("n_shingles > 0")
+        keys = groups.groupBy(F.col("doc_id").alias("_lot")).agg(F.min("component_id").alias("first"), F.count("*").alias("n"))
+        return keys.select("_lot", (F.col("_lot") != F.col("first")).alias("_gone"), "n").where("_gone OR n > 1").drop("n")
 
-    losers = step(spark, later, "losers")
-    return numbered.join(losers, "_lot", "left_anti").select(COLUMNS)
+    told = line_runs.with_gone(rows, step(spark, later, "losers"))
+    copies = told.where("NOT _gone").dropDuplicates(["_lot"])
+    return told.where("_gone IS NULL").unionByName(copies).select(COLUMNS)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    numbered = stored(docs.withColumn("_lot", F.monotonically_increasing_id()), "numbered")    # a later scan may number otherwise
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = stored(decontaminate.contaminated(numbered, bench, ["_lot"]).select("_lot").distinct(), "leaks")
-    return numbered.join(found, "_lot", "left_anti").select(COLUMNS)
+    rows = keyed(docs)
+    found = stored(decontaminate.contaminated(rows, bench, ["_lot"]).select("_lot").distinct(), "leaks")
+    return rows.join(found, "_lot", "left_anti").select(COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

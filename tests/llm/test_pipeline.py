@@ -85,3 +85,23 @@ def test_tables_of_a_stage_go_when_it_ends(spark, sf, monkeypatch):
     early = named("lines", "ranks", "runs", "signatures", "elements")
     assert rows > 0 and len(early) > 8 and not any(os.path.exists(p) for p in early)
     assert all(os.path.exists(p) for p in named("numbered", "gone", "losers", *[name for name, _ in cp.STAGES[:-1]]))
+
+
+def test_rows_are_told_apart_without_a_copy_of_the_documents(spark, sf, monkeypatch):
+    import os
+
+    from labelaudit import session
+    monkeypatch.setattr(session, "scratch_path", lambda s, name, make=session.scratch_path: made.append(make(s, name)) or made[-1])
+    made = []
+    para = "the quick brown fox jumps over the lazy dog near the old stone bridge at noon"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    rows = [(None, para), (None, para), (None, "alone here " * 9), (None, "alone here " * 9), (None, item), (3, "x y z"), (3, "x y z"),
+            (3, "other words"), (2, "x y z"), (4, "u v w"), (4, "u v w"), (5, para + " again"), (6, None), (6, None), (7, ""), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r.doc_id, r.text) for r in cp.one_of_each_group(spark, docs, sf).collect()]
+    want = [(None, "alone here " * 9), (None, item), (2, "x y z"), (3, "other words"), (4, "u v w"), (5, para + " again"),
+            (6, None), (6, None), (7, ""), (7, "")]
+    assert sorted(left, key=str) == sorted(want, key=str)
+    clean = [(r.doc_id, r.text) for r in cp.no_benchmark(spark, docs, sf).collect()]
+    assert sorted(clean, key=str) == sorted([r for r in rows if r[1] != item], key=str)
+    assert not any(os.path.basename(p).startswith("numbered-") for p in made)
